@@ -212,6 +212,17 @@ def _pages(code: str) -> Query:
     return run
 
 
+def prose_matches(spark, sf_dir):
+    """How often a category hits harmless prose, text searched line by line."""
+    turns = I.table(spark, sf_dir, "conversations")
+    rows = turns.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("raw")).withColumns(
+        {"path": F.lit("/"), "user_agent": F.lit("")}
+    )
+    codes = ("command_injection", "sql_injection", "ssti", "file_inclusion")
+    counts = [F.count_if(I.RULES.matches(c)).alias(c) for c in codes]
+    return searchable(rows, codes).groupBy("conv_id").agg(F.count("*").alias("lines"), *counts)
+
+
 def rule_first_match(spark, sf_dir):
     """First matching rule of each category on every record it matches."""
     rows = searchable(I.admitted(spark, sf_dir))
@@ -245,7 +256,7 @@ def detect_error_flood(spark, sf_dir):
     return _hits(D.error_flood_hits(I.admitted(spark, sf_dir), I.OPTIONS))
 
 
-COUNT_IP, COUNT_SECONDS = "203.0.0.44", 20 * 86_400
+COUNT_IP, COUNT_SECONDS = "203.0.0.8", 20 * 86_400
 
 
 def ip_request_count(spark, sf_dir):
@@ -330,7 +341,7 @@ def export_json(spark, sf_dir):
 
 def export_new_only(spark, sf_dir):
     """Lines for threats that an earlier block list does not name."""
-    earlier = export.block_lines(I.threat_table(spark, sf_dir, until=I.SPLIT_AT))
+    earlier = export.block_lines(I.threat_table(spark, sf_dir, until="2024-01-02 00:00:00"))
     new = export.not_listed(I.threat_table(spark, sf_dir), export.listed_ips(earlier))
     return export.block_lines(new).select("value")
 
@@ -408,7 +419,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         parse_nginx, parse_waf_json, parse_free_waf, parse_free_waf_object, parse_free_waf_fallback, parse_ssh,
         parse_auto, parse_times, record_json, ip_normalize, ip_valid, ip_private, ip_extract_text, allow_bounds,
-        allow_anti_join, allow_semi_audit, detect_sensitive_path, rule_first_match, rate_sliding, detect_frequency,
+        allow_anti_join, allow_semi_audit, detect_sensitive_path, prose_matches, rule_first_match, rate_sliding, detect_frequency,
         error_sliding, detect_error_flood, ip_request_count, ip_error_count, hits_by_reason, threats_by_ip,
         threat_levels, threat_scan, threat_upsert, threat_purge, threat_delete, threat_lookup, log_purge,
         export_detailed, export_simple, export_json, export_new_only, unexported, mark_exported, backup_ips,
@@ -428,4 +439,4 @@ QUERIES |= {
         "sql_injection", "xss", "path_traversal", "command_injection", "file_inclusion", "ssrf", "xxe", "ssti",
         "malicious_ua",
     )
-} | {f"pages_{code}": _pages(code) for code in ("xss", "xxe", "sql_injection")}
+} | {f"pages_{code}": _pages(code) for code in ("xss", "xxe")}

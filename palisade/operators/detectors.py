@@ -106,7 +106,7 @@ def sensitive_rows(logs: DataFrame, rules: Rulebook | None = None) -> DataFrame:
     return slim.where((rules or Rulebook()).matches("sensitive_path")).select("ip", "seq", "timestamp")
 
 
-def _sensitive(rows: DataFrame, options: Options, hits: Column, last: Column) -> DataFrame:
+def sensitive_summary_rows(rows: DataFrame, options: Options, hits: Column, last: Column) -> DataFrame:
     category = BY_CODE["sensitive_path"]
     return rows.select(
         "ip", "seq", "timestamp", last.alias("last_seen"),
@@ -125,7 +125,7 @@ def sensitive_path_hits(
         "ip", F.struct("timestamp", "seq").alias("_from")
     )
     counted = rows.join(from_here, "ip").where(F.struct("timestamp", "seq") >= F.col("_from"))
-    return _sensitive(counted, options, F.lit(1), F.col("timestamp"))
+    return sensitive_summary_rows(counted, options, F.lit(1), F.col("timestamp"))
 
 
 def sensitive_path_summary(
@@ -135,7 +135,7 @@ def sensitive_path_summary(
     rows = sensitive_rows(logs, rules)
     totals = rows.groupBy("ip").agg(F.count("*").alias("_n"), F.max("timestamp").alias("_last"))
     nth = W.nth_rows(rows, options.max_sensitive_hits).join(totals, "ip")
-    return _sensitive(nth, options, F.col("_n") - (options.max_sensitive_hits - 1), F.col("_last"))
+    return sensitive_summary_rows(nth, options, F.col("_n") - (options.max_sensitive_hits - 1), F.col("_last"))
 
 
 def _window_hits(

@@ -74,7 +74,8 @@ def reasons_from_json(c: Column) -> Column:
 
 def search(threats: DataFrame, text: str) -> DataFrame:
     """Substring search in address and reasons; ``%`` and ``_`` are wildcards, ASCII case is ignored."""
-    pattern = _ascii_lower(F.lit("%" + text.replace("\\", "\\\\") + "%"))
+    lowered = "".join(c.lower() if c.isascii() else c for c in text)
+    pattern = "%" + lowered.replace("\\", "\\\\") + "%"
     found = [_ascii_lower(c).like(pattern) for c in (F.col("ip"), reasons_json(F.col("reasons")))]
     return threats.where(reduce(or_, found))
 

@@ -116,8 +116,8 @@ class Snapshots:
         return {tag for _, tag, _ in self._complete()}
 
     def read(self, before_tag: str | None = None) -> DataFrame:
-        """The current snapshot, or the newest one written under another tag."""
-        complete = [c for c in self._complete() if before_tag is None or c[1] != before_tag]
+        """The current snapshot, or the newest one not written under a tag (or ``tag.step``)."""
+        complete = [c for c in self._complete() if before_tag is None or c[1].split(".")[0] != before_tag]
         if not complete:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(complete[-1][2])

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side of at most this many rows may be broadcast (about 20 MB of interval rows).
-BROADCAST_ROWS = 200_000
+# A side of at most this many rows may be broadcast (a few MB of interval rows).
+BROADCAST_ROWS = 50_000
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -17,8 +17,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small; else a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Hint a broadcast only after counting that the side is small; else a shuffle join.
+
+    At most ``rows + 1`` rows reach the driver.  A small side is then fixed as the
+    rows just read, so that several joins with it in one plan do not derive it again.
+    """
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
 
 
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

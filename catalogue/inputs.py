@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=4)
 def allow_list(spark: SparkSession) -> DataFrame:
+    """The allow-list parameter of the queries, derived once per session."""
     lines = inline_entries(spark, ALLOW_LINES).withColumnRenamed("entry", "value")
-    return intervals(entry_lines(lines))
+    derived = intervals(entry_lines(lines))
+    return spark.createDataFrame(derived.collect(), derived.schema)
 
 
 FIELDS = {

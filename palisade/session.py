@@ -36,9 +36,8 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     does neither across a one-element ``explode``, which costs next to nothing.
     """
     fields = F.struct(*[value.alias(name) for name, value in columns.items()])
-    kept = [c for c in df.columns if c not in columns]
-    staged = df.select(*df.columns, F.explode(F.array(fields)).alias("_once"))
-    return staged.select(*kept, *[F.col("_once").getField(name).alias(name) for name in columns])
+    staged = df.select("*", F.explode(F.array(fields)).alias("_once"))
+    return staged.withColumns({name: F.col("_once")[name] for name in columns}).drop("_once")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,7 +12,7 @@ from palisade.operators.detectors import frequency_hits, pattern_hits
 from palisade.operators.rulebook import Rulebook
 from palisade.operators.scoring import findings, threats
 from palisade.options import Options
-from palisade.session import use_utc
+from palisade.session import spread, use_utc
 from palisade.sources.allowlist import entry_lines, inline_entries, intervals
 
 # Thresholds that fire on these tables; the shipped ones need busier addresses.
@@ -89,7 +89,8 @@ EXTRA = """case source
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed records derived from ``events``."""
     fields = [F.expr(text).alias(name) for name, text in FIELDS.items()]
-    return table(spark, sf_dir, "events").select(*fields).withColumns({"raw": F.expr(LINE), "extra": F.expr(EXTRA)})
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    return events.select(*fields).withColumns({"raw": F.expr(LINE), "extra": F.expr(EXTRA)})
 
 
 def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,16 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return staged.withColumns({name: F.col("_once")[name] for name in columns}).drop("_once")
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Spread a table that is stored in fewer pieces than there are cores.
+
+    For a plain table scan followed by costly expressions.  Large tables have more
+    pieces than cores and stay as they are, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ from palisade.operators.rulebook import searchable
 from palisade.operators.scoring import findings, threat_level, threats
 from palisade.plans import export, reports, store
 from palisade.plans.scan import scan, source_metrics
-from palisade.sources.allowlist import allow_counts, intervals
+from palisade.session import shared_dir
+from palisade.sources.allowlist import allow_counts, entry_lines, intervals
 from palisade.sources.parsers import (
     FREE_WAF_FALLBACK,
     FREE_WAF_OBJECT,
@@ -25,6 +27,7 @@ from palisade.sources.parsers import (
     parse_lines,
     register_source,
 )
+from palisade.streaming.live import LiveScan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -159,8 +162,6 @@ MADE_ENTRY = """case c_custkey % 6
 
 
 def _made_allow(spark, sf_dir):
-    from palisade.sources.allowlist import entry_lines
-
     text = I.table(spark, sf_dir, "customer").select(F.expr(MADE_ENTRY).alias("value"))
     return intervals(entry_lines(text))
 
@@ -288,6 +289,20 @@ def threat_scan(spark, sf_dir):
     return _ntz(scan(I.logs(spark, sf_dir), I.allow_list(spark), I.OPTIONS, I.RULES))
 
 
+def stream_scan(spark, sf_dir):
+    """The scan as incremental runs of one stream, the records arriving in two parts."""
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-scan-{uuid.uuid4().hex}"
+    records = I.logs(spark, sf_dir)
+    live = LiveScan(spark, f"{folder}/state", I.allow_list(spark), I.OPTIONS, I.RULES)
+    split = _as_of(I.SPLIT_AT)
+    for part in (F.col("timestamp") < split, F.col("timestamp") >= split):
+        records.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(records.schema).parquet(f"{folder}/in")
+        live.start(stream, f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    found = live.threats.read()
+    return _ntz(found.select("ip", "score", "threat_level", "reasons", "hit_count", "first_seen", "last_seen"))
+
+
 def stats_sources(spark, sf_dir):
     return source_metrics(I.logs(spark, sf_dir), I.allow_list(spark), I.OPTIONS, I.RULES)
 
@@ -421,7 +436,7 @@ QUERIES: dict[str, Query] = {
         parse_auto, parse_times, record_json, ip_normalize, ip_valid, ip_private, ip_extract_text, allow_bounds,
         allow_anti_join, allow_semi_audit, detect_sensitive_path, prose_matches, rule_first_match, rate_sliding, detect_frequency,
         error_sliding, detect_error_flood, ip_request_count, ip_error_count, hits_by_reason, threats_by_ip,
-        threat_levels, threat_scan, threat_upsert, threat_purge, threat_delete, threat_lookup, log_purge,
+        threat_levels, threat_scan, stream_scan, threat_upsert, threat_purge, threat_delete, threat_lookup, log_purge,
         export_detailed, export_simple, export_json, export_new_only, unexported, mark_exported, backup_ips,
         stats_levels, stats_today, stats_trend7, stats_sources, exported_count, list_threats, page_info,
         reason_severity, reason_description, score_percent, reason_preview,

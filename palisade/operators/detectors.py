@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.operators import windows as W
-from palisade.operators.rulebook import BY_CODE, CATEGORIES, Rulebook, searchable
+from palisade.operators.rulebook import BY_CODE, CATEGORIES, Rulebook, searchable, sql_text
 from palisade.options import Options
 
 Detector = Callable[[DataFrame], DataFrame]
@@ -40,35 +40,29 @@ def suspicious_status(c: Column) -> Column:
     return c.isin(*SUSPICIOUS_STATUS)
 
 
-def _bracketed(reason: str, detail: Column) -> Column:
-    filled = F.coalesce(detail, F.lit("")) != ""
-    return F.when(filled, F.concat(F.lit(reason + "("), detail, F.lit(")"))).otherwise(F.lit(reason))
+def _bracketed(reason: str, detail: str) -> str:
+    plain = sql_text(reason)
+    return f"case when coalesce({detail}, '') <> '' then concat({sql_text(reason + '(')}, {detail}, ')') else {plain} end"
 
 
-def _finding(code: str, reason: Column, score: int) -> Column:
-    return F.struct(
-        F.lit(RANK[code]).alias("rank"), reason.alias("reason"), F.lit(score).alias("score")
-    )
-
-
-def _check(code: str, rules: Rulebook, options: Options) -> Column:
-    """A row-level check as a struct that is NULL when it does not apply."""
-    scores, source, extra = options.scores, F.col("source"), F.col("extra")
+def _check(code: str, rules: Rulebook, options: Options) -> str:
+    """SQL text of a row-level check: a finding struct, NULL when it does not apply."""
+    scores = options.scores
     if code == "waf_block":
-        reason = _bracketed(WAF_REASON, extra["attack_type"])
-        return F.when(source == "waf", _finding(code, reason, scores.waf_block))
-    if code == "free_waf_block":
-        reason = _bracketed(FREE_WAF_REASON, extra["rule_type"])
-        return F.when(source == "free_waf", _finding(code, reason, max(1, scores.waf_block // 2)))
-    if code == "ssh_failed":
-        failed = (source == "ssh") & (extra["failed"] == "true")
-        return F.when(failed, _finding(code, F.lit(SSH_REASON), scores.ssh_bruteforce))
-    category = BY_CODE[code]
-    reason = F.lit(category.reason)
-    if category.on_agent:
-        rule = rules.pattern_of(code, rules.first_rule(code))
-        reason = F.concat(F.lit(category.reason + "("), rule, F.lit(")"))
-    return F.when(rules.matches(code), _finding(code, reason, getattr(scores, category.score_field)))
+        test, reason, score = "source = 'waf'", _bracketed(WAF_REASON, "extra['attack_type']"), scores.waf_block
+    elif code == "free_waf_block":
+        test, reason = "source = 'free_waf'", _bracketed(FREE_WAF_REASON, "extra['rule_type']")
+        score = max(1, scores.waf_block // 2)
+    elif code == "ssh_failed":
+        test, reason = "source = 'ssh' and extra['failed'] = 'true'", sql_text(SSH_REASON)
+        score = scores.ssh_bruteforce
+    else:
+        category = BY_CODE[code]
+        test, score = rules.matches_sql(code), getattr(scores, category.score_field)
+        reason = sql_text(category.reason)
+        if category.on_agent:
+            reason = f"concat({sql_text(category.reason + '(')}, {rules.first_pattern_sql(code)}, ')')"
+    return f"case when {test} then named_struct('rank', {RANK[code]}, 'reason', {reason}, 'score', {score}) end"
 
 
 ROW_CHECKS = ("waf_block", "free_waf_block", "ssh_failed") + tuple(c.code for c in CATEGORIES if not c.literal)
@@ -76,7 +70,7 @@ ROW_CHECKS = ("waf_block", "free_waf_block", "ssh_failed") + tuple(c.code for c
 
 def checks_array(rules: Rulebook, options: Options, checks: Sequence[str] = ROW_CHECKS) -> Column:
     """All checks that apply to a ``searchable`` record, as an array of findings."""
-    return F.array_compact(F.array(*[_check(c, rules, options) for c in checks]))
+    return F.expr(f"array_compact(array({', '.join(_check(c, rules, options) for c in checks)}))")
 
 
 def pattern_hits(

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +73,11 @@ def _default_patterns() -> dict[str, tuple[str, ...]]:
     }
 
 
+def sql_text(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def searchable(records: DataFrame, codes: Iterable[str] | None = None) -> DataFrame:
     """Add what the match expressions need: the lower-cased path, and an ASCII mark.
 
@@ -179,44 +182,49 @@ class Rulebook:
             rules = [p for _, p in self.numbered(code)]
         return any_of(rules) if rules else None
 
-    def _texts(self, code: str) -> list[Column]:
+    def _texts(self, code: str) -> list[str]:
         category = BY_CODE[code]
-        texts = [F.col("_path")] if category.on_path else []
-        texts += [F.col("raw")] if category.on_raw else []
-        return texts + ([F.col("user_agent")] if category.on_agent else [])
+        texts = ["_path"] if category.on_path else []
+        texts += ["raw"] if category.on_raw else []
+        return texts + (["user_agent"] if category.on_agent else [])
 
-    def matches(self, code: str) -> Column:
-        """Does any rule of the category match?  Needs ``searchable`` records."""
+    def matches_sql(self, code: str) -> str:
+        """SQL text of "any rule of the category matches"; needs ``searchable`` records."""
         pattern = self.search(code)
         if pattern is None:
-            return F.lit(False)
-        # The longest text first: a hit in the raw line saves the search of its path.
-        texts = list(reversed(self._texts(code)))
-        ascii_hit = reduce(or_, [text.rlike(ASCII_FLAGS + pattern) for text in texts])
-        any_hit = reduce(or_, [text.rlike(FLAGS + pattern) for text in texts])
-        applies = F.col("user_agent" if BY_CODE[code].on_agent else "path") != ""
-        return applies & F.when(F.col("_ascii"), ascii_hit).otherwise(any_hit)
+            return "false"
 
-    def first_rule(self, code: str) -> Column:
-        """Position of the first rule of the category that matches, else NULL.
+        def hit(flags: str) -> str:
+            # The longest text first: a hit in the raw line saves the search of its path.
+            return " or ".join(f"{text} rlike {sql_text(flags + pattern)}" for text in reversed(self._texts(code)))
+
+        applies = "user_agent" if BY_CODE[code].on_agent else "path"
+        return f"({applies} <> '' and case when _ascii then {hit(ASCII_FLAGS)} else {hit(FLAGS)} end)"
 
-        Every pattern is a literal, compiled once per task; the branches are tried
-        in rule order and stop at the first match.  Guard it with ``matches``, so
-        that only records the single alternation has found pay for it.
+    def matches(self, code: str) -> Column:
+        return F.expr(self.matches_sql(code))
+
+    def _first_sql(self, code: str, result: Callable[[int, str], str]) -> str:
+        """SQL text of a CASE over the rules in order.
+
+        Every pattern is a literal, compiled once per task, and the branches stop at
+        the first match.  Guard it with ``matches``, so that only records the single
+        alternation has found pay for it.
         """
-        first = None
+        branches = []
         for number, pattern in self.numbered(code):
-            rule = FLAGS + (re.escape(pattern.lower()) if BY_CODE[code].literal else pattern)
-            hit = reduce(or_, [text.rlike(rule) for text in self._texts(code)])
-            first = F.when(hit, number) if first is None else first.when(hit, number)
-        return F.lit(None).cast("int") if first is None else first
-
-    def pattern_of(self, code: str, number: Column) -> Column:
-        """Text of a rule from its position."""
-        texts = self.patterns.get(code, ())
-        if not texts:
-            return F.lit(None).cast("string")
-        return F.get(F.array(*[F.lit(p) for p in texts]), number)
+            rule = sql_text(FLAGS + (re.escape(pattern.lower()) if BY_CODE[code].literal else pattern))
+            hit = " or ".join(f"{text} rlike {rule}" for text in self._texts(code))
+            branches.append(f"when {hit} then {result(number, pattern)}")
+        return f"case {' '.join(branches)} end" if branches else "null"
+
+    def first_pattern_sql(self, code: str) -> str:
+        """SQL text of the first rule that matches."""
+        return self._first_sql(code, lambda number, pattern: sql_text(pattern))
+
+    def first_rule(self, code: str) -> Column:
+        """Position of the first rule that matches, else NULL."""
+        return F.expr(self._first_sql(code, lambda number, pattern: str(number))).cast("int")
 
     def frame(self, spark: SparkSession, options: Options = Options()) -> DataFrame:
         """The rule base as a table."""

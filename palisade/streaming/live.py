@@ -6,7 +6,9 @@ answer over all rows (rows are expected in time order between batches; see
 ``late_seconds``).  The context is kept as tables in the shared folder:
 
 * ``requests`` / ``errors``: per address its newest ``limit`` rows.  They decide
-  every later window, because a window with more rows in it is over the limit anyway;
+  every later window, because a window with more rows in it is over the limit anyway.
+  With ``late_seconds`` set, rows that no later window can reach are dropped too, and
+  records later than that are not taken;
 * ``sensitive``: per address the number of sensitive records so far;
 * ``findings``: per (address, analyzer, reason) what was found, so that a reason
   scores once.
@@ -76,8 +78,9 @@ class LiveScan:
         """Add one micro-batch of records; safe to repeat under the same id."""
         tag = f"batch{batch_id}"
         allow = self.allow() if callable(self.allow) else self.allow
-        admitted = self._in_time(admit(batch, allow), tag).persist(StorageLevel.MEMORY_AND_DISK)
-        found, keep = self._detect(admitted, tag)
+        newest_seen = None if self.late_seconds is None else self._newest_seen(tag)
+        admitted = self._since(admit(batch, allow), newest_seen, 0).persist(StorageLevel.MEMORY_AND_DISK)
+        found, keep = self._detect(admitted, tag, newest_seen)
         found = found.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             known = self.findings.read(tag)
@@ -111,16 +114,17 @@ class LiveScan:
         if tag not in table.tags():
             table.write(rows, tag)
 
-    def _in_time(self, rows: DataFrame, tag: str) -> DataFrame:
-        """Rows that are not later than allowed against what was seen before."""
-        if self.late_seconds is None:
-            return rows
-        newest_seen = self.requests.read(tag).agg(F.max("timestamp")).first()[0]
+    def _newest_seen(self, tag: str):
+        return self.requests.read(tag).agg(F.max("timestamp")).first()[0]
+
+    def _since(self, rows: DataFrame, newest_seen, window: int) -> DataFrame:
+        """Rows that can still matter: all, or those within the window and the allowed delay."""
         if newest_seen is None:
             return rows
-        return rows.where(F.col("timestamp") > F.lit(newest_seen) - F.expr(f"interval {self.late_seconds} seconds"))
+        reach = F.expr(f"interval {self.late_seconds + window} seconds")
+        return rows.where(F.col("timestamp") > F.lit(newest_seen) - reach)
 
-    def _detect(self, rows: DataFrame, tag: str):
+    def _detect(self, rows: DataFrame, tag: str, newest_seen):
         o = self.options
         slim = rows.select("ip", "seq", "timestamp")
         wrong = rows.where(D.suspicious_status(F.col("status"))).select("ip", "seq", "timestamp", "status")
@@ -135,8 +139,8 @@ class LiveScan:
         ]
         counted = flagged.groupBy("ip").agg(F.count("*").alias("n")).unionByName(seen)
         keep = [
-            (self.requests, newest(slim.unionByName(requests), o.max_requests)),
-            (self.errors, newest(wrong.unionByName(errors), o.max_errors)),
+            (self.requests, newest(self._since(slim.unionByName(requests), newest_seen, o.frequency_window), o.max_requests)),
+            (self.errors, newest(self._since(wrong.unionByName(errors), newest_seen, o.error_window), o.max_errors)),
             (self.sensitive, counted.groupBy("ip").agg(F.sum("n").alias("n"))),
         ]
         return findings(reduce(DataFrame.unionByName, hits)), keep

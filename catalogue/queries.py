@@ -13,7 +13,7 @@ from palisade.functions import ip as ipf
 from palisade.functions.times import iso_text, parse_timestamp
 from palisade.operators import detectors as D
 from palisade.operators import windows as W
-from palisade.operators.allow import admit, allow_audit
+from palisade.operators.allow import allow_audit
 from palisade.operators.rulebook import searchable
 from palisade.operators.scoring import findings, threat_level, threats
 from palisade.plans import export, reports, store

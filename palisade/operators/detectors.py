@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.operators import windows as W
@@ -132,48 +132,32 @@ def sensitive_path_summary(
     return sensitive_summary_rows(nth, options, F.col("_n") - (options.max_sensitive_hits - 1), F.col("_last"))
 
 
-def _window_hits(
-    first: DataFrame, crossed: DataFrame, analyzer: str, code: str, reason: Column, score: int
-) -> DataFrame:
-    return first.join(crossed, "ip").select(
+def window_hits(first: DataFrame, analyzer: str, code: str, score: int) -> DataFrame:
+    """Hit rows from one row per address: ip, seq, timestamp, t_last, hits, reason."""
+    return first.select(
         "ip", "seq", "timestamp", F.timestamp_micros("t_last").alias("last_seen"),
         F.lit(analyzer).alias("analyzer"), F.lit(RANK[code]).alias("rank"),
-        reason.alias("reason"), F.lit(score).alias("score"), F.col("hits").cast("bigint").alias("hits"),
+        "reason", F.lit(score).alias("score"), F.col("hits").cast("bigint").alias("hits"),
     )
 
 
-def frequency_hits(logs: DataFrame, options: Options = Options()) -> DataFrame:
-    """Addresses above the request rate, one row each.
+def frequency_reason(window: int, limit: int) -> Column:
+    """The count at the first crossing is always ``limit + 1``: a record raises it by one at most."""
+    return F.lit(FREQUENCY_REASON.format(n=limit + 1, window=window))
+
+
+def error_reason(limit: int) -> Column:
+    return F.concat(F.lit(ERROR_REASON.format(n=limit + 1)), F.col("top_statuses"), F.lit(")"))
 
-    The count at the first crossing is always ``limit + 1``: one record raises it
-    by at most one.
-    """
+
+def frequency_hits(logs: DataFrame, options: Options = Options()) -> DataFrame:
+    """Addresses above the request rate, one row each."""
     window, limit = options.frequency_window, options.max_requests
     rows = logs.select("ip", "seq", "timestamp")
     crossed = W.crossings(W.violations(rows, window, limit))
-    first = W.crossing_window(rows, crossed.select("ip", "t_cross"), window, limit).where(
-        F.col("_rn") == limit + 1
-    )
-    reason = F.lit(FREQUENCY_REASON.format(n=limit + 1, window=window))
-    return _window_hits(
-        first.select("ip", "seq", "timestamp"), crossed, FREQUENCY, FREQUENCY, reason,
-        options.scores.frequency_violation,
-    )
-
-
-def top_statuses(window_rows: DataFrame) -> DataFrame:
-    """Most frequent statuses per address as ``code:count,...``; ties keep first-seen order."""
-    ranked = (
-        window_rows.groupBy("ip", "status")
-        .agg(F.count("*").alias("_n"), F.min("_rn").alias("_first"))
-        .groupBy("ip")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("o"), "_first", "status"))).alias("_top"))
-    )
-    text = F.transform(
-        F.slice("_top", 1, TOP_STATUSES),
-        lambda s: F.concat(s["status"].cast("string"), F.lit(":"), (-s["o"]).cast("string")),
-    )
-    return ranked.select("ip", F.array_join(text, ",").alias("top_statuses"))
+    first = W.crossing_window(rows, crossed, window, limit).where(F.col("_rn") == limit + 1)
+    named = first.withColumn("reason", frequency_reason(window, limit))
+    return window_hits(named, FREQUENCY, FREQUENCY, options.scores.frequency_violation)
 
 
 def error_flood_hits(logs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -181,10 +165,5 @@ def error_flood_hits(logs: DataFrame, options: Options = Options()) -> DataFrame
     window, limit = options.error_window, options.max_errors
     rows = logs.where(suspicious_status(F.col("status"))).select("ip", "seq", "timestamp", "status")
     crossed = W.crossings(W.violations(rows, window, limit))
-    inside = W.crossing_window(rows, crossed.select("ip", "t_cross"), window, limit)
-    first = inside.groupBy("ip").agg(
-        F.max_by("seq", "_rn").alias("seq"), F.max_by("timestamp", "_rn").alias("timestamp")
-    )
-    first = first.join(top_statuses(inside), "ip")
-    reason = F.concat(F.lit(ERROR_REASON.format(n=limit + 1)), F.col("top_statuses"), F.lit(")"))
-    return _window_hits(first, crossed, STATUS, "error_flood", reason, options.scores.error_flood)
+    first = W.top_statuses(W.crossing_window(rows, crossed, window, limit), TOP_STATUSES)
+    return window_hits(first.withColumn("reason", error_reason(limit)), STATUS, "error_flood", options.scores.error_flood)

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 
 
-def _stretch(t: Column, window: int) -> Column:
-    return F.floor(t / F.lit(window * MICROS)).cast("bigint")
+def _stretch(t: str, window: int) -> Column:
+    """Number of the stretch of ``window`` seconds an instant lies in."""
+    size = f"bigint('{window * MICROS}')"
+    return F.expr(f"({t} - pmod({t}, {size})) div {size}")
 
 
 def instants(rows: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def trailing_counts(counted: DataFrame, window: int) -> DataFrame:
 
     ``counted`` has columns ip, t, n with one row per (ip, t).
     """
-    stretch = _stretch(F.col("t"), window)
+    stretch = _stretch("t", window)
     part = Window.partitionBy("ip", "_part").orderBy("t")
     # Two running sums rather than one sliding frame: each row is added once.
     earlier = F.sum("n").over(part.rangeBetween(Window.unboundedPreceding, -1))
@@ -67,16 +69,15 @@ def crossings(violating: DataFrame) -> DataFrame:
 def crossing_window(rows: DataFrame, crossed: DataFrame, window: int, limit: int) -> DataFrame:
     """The ``limit + 1`` rows in the window at which each address first crossed.
 
-    The last of them (``_rn = limit + 1``) is the crossing row itself.  Rows and
+    The last of them (``_rn = limit + 1``) is the crossing row itself; columns of
+    ``crossed`` are kept.  Rows and
     crossings meet on (address, stretch), so a busy address is spread over its
     stretches, and the per-address rank keeps only ``limit + 1`` rows per task
     before anything is shuffled on the address.
     """
-    own = _stretch(F.col("t_cross"), window)
-    reach = crossed.select(
-        "ip", "t_cross", F.explode(F.array(own, own - 1)).alias("_part")
-    )
-    placed = rows.withColumn("t", F.unix_micros("timestamp")).withColumn("_part", _stretch(F.col("t"), window))
+    own = _stretch("t_cross", window)
+    reach = crossed.select("*", F.explode(F.array(own, own - 1)).alias("_part"))
+    placed = rows.withColumn("t", F.unix_micros("timestamp")).withColumn("_part", _stretch("t", window))
     inside = placed.join(reach, ["ip", "_part"]).where(
         (F.col("t") > F.col("t_cross") - window * MICROS) & (F.col("t") <= F.col("t_cross"))
     )
@@ -84,6 +85,29 @@ def crossing_window(rows: DataFrame, crossed: DataFrame, window: int, limit: int
     return inside.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit + 1)
 
 
+def top_statuses(inside: DataFrame, top: int) -> DataFrame:
+    """Crossing row and most frequent statuses per address, from its crossing window.
+
+    One row per address: seq, timestamp, hits, t_last, and ``top_statuses`` as
+    ``code:count,...``; ties keep first-seen order.
+    """
+    last = F.max(F.struct("_rn", "seq", "timestamp", "hits", "t_last"))
+    by_status = inside.groupBy("ip", "status").agg(
+        F.count("*").alias("_n"), F.min("_rn").alias("_first"), last.alias("_last")
+    )
+    ranked = by_status.groupBy("ip").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("o"), "_first", "status"))).alias("_top"),
+        F.max("_last").alias("_last"),
+    )
+    text = F.transform(
+        F.slice("_top", 1, top),
+        lambda s: F.concat(s["status"].cast("string"), F.lit(":"), (-s["o"]).cast("string")),
+    )
+    return ranked.select(
+        "ip", "_last.seq", "_last.timestamp", "_last.hits", "_last.t_last", F.array_join(text, ",").alias("top_statuses")
+    )
+
+
 def sliding_counts(rows: DataFrame, window: int) -> DataFrame:
     """Every row with its own trailing count ``window_count``, row by row.
 

@@ -7,10 +7,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.operators.allow import admit
 from palisade.operators.rulebook import Rulebook
+from palisade.operators.scoring import threats
 from palisade.options import Options
 from palisade.plans import export, reports, store
-from palisade.plans.scan import scan, source_metrics
+from palisade.plans.scan import admitted_metrics, scan_findings
 from palisade.plans.store import Snapshots
 from palisade.session import use_utc
 from palisade.sources.allowlist import allow_from_options
@@ -18,12 +20,14 @@ from palisade.sources.lines import read_log_table, read_logs, write_logs
 
 
 def stage_logs(spark: SparkSession, options: Options, folder: str) -> DataFrame:
-    """Parse all enabled sources once into a log table and read it back.
+    """Parse all enabled sources and apply the allow list once, into a log table.
 
-    The detectors pass over the records several times, each with few columns; over
-    Parquet a pass costs only these columns, and lines are parsed once.
+    The detectors pass over the records several times, each with few columns.  Over
+    Parquet a pass costs only these columns; parsing, address keys and the interval
+    join are paid once.
     """
-    write_logs(read_logs(spark, options), folder, mode="overwrite")
+    admitted = admit(read_logs(spark, options), allow_from_options(spark, options))
+    write_logs(admitted, folder, mode="overwrite")
     return read_log_table(spark, folder)
 
 
@@ -35,16 +39,18 @@ def run_scan(
     rules: Rulebook | None = None,
     logs: DataFrame | None = None,
 ) -> dict:
-    """Scan, merge into the threat table, append new block-list lines, purge; returns counts."""
+    """Scan, merge into the threat table, append new block-list lines, purge; returns counts.
+
+    ``logs`` are admitted records; by default the enabled sources are read and staged.
+    """
     use_utc(spark)
     table = Snapshots(spark, f"{folder}/threats")
     logs = stage_logs(spark, options, f"{folder}/logs") if logs is None else logs
-    allow = allow_from_options(spark, options)
-    found = scan(logs, allow, options, rules)
+    found = threats(scan_findings(logs, options, rules), options)
     table.write(store.merge_threats(table.read(), found, options), "scan")
     written = publish(table, block_list, options, append=True)
     purge(table, block_list, options)
-    sources = {r["source"]: r.asDict() for r in source_metrics(logs, allow, options, rules).collect()}
+    sources = {r["source"]: r.asDict() for r in admitted_metrics(logs, options, rules).collect()}
     return {
         "entries_processed": sum(r["entries"] for r in sources.values()),
         "threats": reports.level_stats(table.read()).first().asDict(),

@@ -58,11 +58,17 @@ def scan(
     return threats(scan_findings(admit(logs, allow), options, rules, detectors), options)
 
 
-def source_metrics(
-    logs: DataFrame, allow: DataFrame, options: Options = Options(), rules: Rulebook | None = None
+def admitted_metrics(
+    admitted: DataFrame, options: Options = Options(), rules: Rulebook | None = None
 ) -> DataFrame:
     """Admitted entries per source and how many of them a row-level check hit."""
     found = checks_array(rules or Rulebook(), options)
-    return searchable(admit(logs, allow)).groupBy("source").agg(
+    return searchable(admitted).groupBy("source").agg(
         F.count("*").alias("entries"), F.count_if(F.size(found) > 0).alias("hit_entries")
     )
+
+
+def source_metrics(
+    logs: DataFrame, allow: DataFrame, options: Options = Options(), rules: Rulebook | None = None
+) -> DataFrame:
+    return admitted_metrics(admit(logs, allow), options, rules)

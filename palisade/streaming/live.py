@@ -162,24 +162,16 @@ class LiveScan:
             .where(F.col("over") > 0)
         )
         crossed = W.crossings(over)
-        inside = W.crossing_window(both, crossed.select("ip", "t_cross"), window, limit)
-        first = inside.groupBy("ip").agg(
-            F.max_by("seq", "_rn").alias("seq"), F.max_by("timestamp", "_rn").alias("timestamp")
-        )
+        inside = W.crossing_window(both, crossed, window, limit)
         if analyzer == D.FREQUENCY:
             code, score = D.FREQUENCY, o.scores.frequency_violation
-            named = first.withColumn("reason", F.lit(D.FREQUENCY_REASON.format(n=limit + 1, window=window)))
+            named = inside.where(F.col("_rn") == limit + 1).withColumn("reason", D.frequency_reason(window, limit))
         else:
             code, score = "error_flood", o.scores.error_flood
-            text = F.concat(F.lit(D.ERROR_REASON.format(n=limit + 1)), F.col("top_statuses"), F.lit(")"))
-            named = first.join(D.top_statuses(inside), "ip").withColumn("reason", text)
+            named = W.top_statuses(inside, D.TOP_STATUSES).withColumn("reason", D.error_reason(limit))
         known = self.findings.read(tag).where(F.col("analyzer") == analyzer).select("ip", F.col("reason").alias("_known"))
-        named = named.join(known, "ip", "left").withColumn("reason", F.coalesce("_known", "reason")).drop("_known")
-        return named.join(crossed, "ip").select(
-            "ip", "seq", "timestamp", F.timestamp_micros("t_last").alias("last_seen"),
-            F.lit(analyzer).alias("analyzer"), F.lit(D.RANK[code]).alias("rank"), "reason",
-            F.lit(score).alias("score"), F.col("hits").cast("bigint").alias("hits"),
-        )
+        named = named.join(known, "ip", "left").withColumn("reason", F.coalesce("_known", "reason"))
+        return D.window_hits(named, analyzer, code, score)
 
     def _sensitive(self, flagged: DataFrame, seen: DataFrame) -> DataFrame:
         """Sensitive records from the n-th of an address on, counted over all batches."""

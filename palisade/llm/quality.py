@@ -79,31 +79,38 @@ def repeated_words(words: Column, window: int) -> Column:
 
 def _paired(hashes: Column, step: int) -> Column:
     """Hash of each value with the one ``step`` places on, where there is one."""
-    n = F.size(hashes) - step
-    later = F.slice(hashes, F.lit(step + 1), F.greatest(n, F.lit(0)))
-    return F.when(n <= 0, F.array().cast("array<bigint>")).otherwise(
-        F.zip_with(F.slice(hashes, F.lit(1), n), later, lambda a, b: F.xxhash64(a, b))
-    )
+    def pair(all_: Column) -> Column:
+        n = F.size(all_) - step
+        both = F.zip_with(F.slice(all_, F.lit(1), n), F.slice(all_, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+        return F.when(n <= 0, F.array().cast("array<bigint>")).otherwise(both)
+
+    return _let(hashes, pair)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda a name would compute it again."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _repeats(ordered: Column) -> Column:
+    """Whether a sorted array holds a value twice."""
+    return F.exists(F.zip_with(ordered, F.slice(ordered, F.lit(2), F.size(ordered)), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
 
 
 def _covered(windows: Column, window: int) -> Column:
     """Words covered by repeated windows, given all window hashes in text order."""
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    last = F.size(pairs) - 1
-    at = F.filter(
-        F.transform(
-            pairs,
-            lambda p, i: F.when(
-                ((i > 0) & (F.get(pairs, i - 1)["h"] == p["h"])) | ((i < last) & (F.get(pairs, i + 1)["h"] == p["h"])), p["i"]
-            ),
-        ),
-        lambda p: p.isNotNull(),
-    )
+    found = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    at = _let(
+        found,
+        lambda pairs: F.transform(pairs, lambda p, i: F.when(
+            ((i > 0) & (F.get(pairs, i - 1)["h"] == p["h"])) | (F.get(pairs, i + 1)["h"] == p["h"]), p["i"]
+        )),
+    )
     state = F.struct(F.lit(0).alias("total"), F.lit(0).alias("end"))
     step = lambda s, p: F.struct(
         (s["total"] + p + window - F.greatest(s["end"], p)).cast("int").alias("total"), (p + window).cast("int").alias("end")
     )
-    return F.aggregate(F.sort_array(at), state, step, lambda s: s["total"])
+    return F.aggregate(F.sort_array(F.array_compact(at)), state, step, lambda s: s["total"])
 
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", prefix: str = "q_") -> DataFrame:
@@ -129,13 +136,13 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
         f"{p}n_dup_lines": (F.size(f"{p}worded") - F.size(F.array_distinct(f"{p}worded"))).cast("long"),
         f"{p}failed": F.transform(f"{p}lines", lambda s: has_word(s) & line_fails(s, rules)),
     }).drop(f"{p}worded")
-    ordered = F.col(f"{p}ordered")
-    repeats = F.exists(F.transform(ordered, lambda h, i: (i > 0) & (F.get(ordered, i - 1) == h)), lambda x: x)
+    repeats = _repeats(F.col(f"{p}ordered"))
     df = df.withColumns({
         f"{p}n_repeat_words": F.when(repeats, _covered(F.col(f"{p}windows"), rules.window)).otherwise(0).cast("long"),
         f"{p}n_failed_lines": F.size(F.filter(f"{p}failed", lambda x: x)).cast("long"),
-        f"{p}cleaned": F.when(F.exists(f"{p}failed", lambda x: x), F.array_join(
-            F.filter(f"{p}lines", lambda s, i: ~F.get(F.col(f"{p}failed"), i)), "\n")).otherwise(F.col(text)),
+        f"{p}cleaned": F.when(F.exists(f"{p}failed", lambda x: x), F.array_join(F.transform(
+            F.filter(F.arrays_zip(F.col(f"{p}lines").alias("s"), F.col(f"{p}failed").alias("f")), lambda z: ~z["f"]), lambda z: z["s"]
+        ), "\n")).otherwise(F.col(text)),
     }).drop(f"{p}windows", f"{p}ordered", f"{p}lines", f"{p}failed")
     left = F.when(F.col(f"{p}n_failed_lines") == 0, F.col(f"{p}word_chars")).otherwise(
         F.char_length(F.regexp_replace(f"{p}cleaned", WORD_GAP, ""))

@@ -107,11 +107,10 @@ def near_duplicates(
     """Per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept.
 
     Links hold where 100 * |intersection| >= percent * |union| on the full sets.  Equal
-    sets become one class first, so copies never meet each other.  Classes sharing a band
-    are compared in three steps, each only between classes not yet in one component:
-    (1) every class with the one pivot that has most company in its bands, (2) with the
-    pivot of each of its bands, (3) all that is still apart within a band.  Step 3 leaves
-    no candidate pair untested, and near copies are one component before it.
+    sets become one class first, so copies never meet each other.  Then every class is
+    compared with one pivot, the class with most company in its bands; that makes near
+    copies one component.  Candidate pairs that are still apart are compared too, except
+    those whose overlaps with a common pivot prove that they cannot be linked.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = written(source.mapInArrow(_sign(shingle, bands, rows), "id long, fp binary, n long, bands array<long>"), "minhash")
@@ -131,34 +130,33 @@ def near_duplicates(
     fetch = members.select(F.col("rep").alias("id")).distinct()
     sets = written(source.join(fetch, "id").mapInArrow(_sets(shingle), "id long, shingles array<long>"), "shingles")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
+    def with_sets(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = pairs.join(one, "a").join(two, "b")
-        both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
-        return both.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b")
+        return pairs.join(one, "a").join(two, "b")
 
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        """``a, b, i, s``: size of the intersection, and of both full sets together."""
+        return with_sets(pairs).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
+
+    enough = lambda i, s: i * (100 + percent) >= s * percent
     first = stars.groupBy("rep").agg(F.max("p").alias("p")).select(F.col("rep").alias("a"), (-F.col("p.minus")).alias("b"))
-    links = written(linked(first), "links1")
+    scored = written(overlaps(first), "overlaps")
+    links = scored.where(enough(F.col("i"), F.col("s"))).select("a", "b")
     label = components(links)
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components so far."""
-        known = pairs.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
-        return known.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    tried = first
-    more = apart(stars.select(F.col("rep").alias("a"), (-F.col("p.minus")).alias("b"))).join(first, ["a", "b"], "left_anti")
-    more = written(more, "pairs2")
-    if not more.isEmpty():
-        links = links.unionByName(written(linked(more), "links2"))
-        label = components(links)
-        tried = tried.unionByName(more)
-    rest = written(_apart_in_band(members, label, percent, tried), "pairs3")
+    # Every class with its pivot (itself, if it has none), their overlap, and its component so far.
+    placed = degree.select("rep", "n").join(scored.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "i"), "rep", "left")
+    placed = placed.join(label.toDF("rep", "component"), "rep", "left").select(
+        "rep", "n", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("i", "n").alias("i"), F.coalesce("component", "rep").alias("component")
+    )
+    split = written(_split_bands(members, placed), "split")
+    rest = _apart_in_band(split, percent, enough).unionByName(_apart_in_residue(split, with_sets, enough)).distinct()
+    tried = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
-        links = links.unionByName(written(linked(rest), "links3"))
-        label = components(links)
+        more = overlaps(rest).where(enough(F.col("i"), F.col("s"))).select("a", "b")
+        label = components(links.unionByName(written(more, "links")))
 
     found = classes.select("fp", "rep").join(label.toDF("rep", "component"), "rep", "left")
     found = found.select("fp", F.coalesce("component", "rep").alias("component"))
@@ -169,23 +167,45 @@ def near_duplicates(
     )
 
 
-def _apart_in_band(members: DataFrame, label: DataFrame, percent: int, tried: DataFrame) -> DataFrame:
-    """Pairs that share a band, are in different components, and were not compared yet.
-
-    The members of the largest component of a band are met only by those outside it.
-    """
-    known = members.select("key", "rep", "n").join(label.toDF("rep", "component"), "rep", "left")
-    known = known.withColumn("component", F.coalesce("component", "rep"))
+def _split_bands(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """Members of bands that hold more than one component; ``top`` is the largest one's name."""
+    known = members.select("key", "rep").join(placed, "rep")
     parts = known.groupBy("key", "component").agg(F.count("*").alias("c"))
     top = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    split = known.join(top.select("key", F.col("top.component").alias("top")), "key")
-    out = split.where("component != top").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    similar = F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent
-    pairs = out.join(split, "key").where((F.col("cx") != F.col("component")) & similar)
-    pairs = pairs.where((F.col("component") == F.col("top")) | (F.col("x") < F.col("rep")))
-    pairs = pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(seen, ["a", "b"], "left_anti")
+    return known.join(top.select("key", F.col("top.component").alias("top")), "key")
+
+
+_NAMES = ("rep", "n", "pivot", "i", "component")
+
+
+def _apart_in_band(split: DataFrame, percent: int, enough) -> DataFrame:
+    """Pairs that share a band and are apart; for the members of the largest component only
+    with those outside it.  For two with one pivot P, |A & B| is at most the lesser overlap
+    with P plus what they share outside P; without the latter (see ``_apart_in_residue``)
+    the lesser overlap must be enough.
+    """
+    pairs = split.where("component != top").select("key", *[F.col(c).alias(c + "x") for c in _NAMES]).join(split, "key").where(
+        (F.col("component") != F.col("componentx"))
+        & ((F.col("component") == F.col("top")) | (F.col("repx") < F.col("rep")))
+        & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent)
+        & ((F.col("pivot") != F.col("pivotx")) | enough(F.least("i", "ix"), F.col("n") + F.col("nx")))
+    )
+    return pairs.select(F.least("repx", "rep").alias("a"), F.greatest("repx", "rep").alias("b"))
+
+
+def _apart_in_residue(split: DataFrame, with_sets, enough) -> DataFrame:
+    """Pairs with one pivot that are apart and share shingles outside it, so many that they may be linked."""
+    own = split.select("rep", "n", "pivot", "i", "component").distinct().where("rep != pivot")
+    residue = with_sets(own.withColumnsRenamed({"rep": "a", "pivot": "b"})).select(
+        F.col("a").alias("rep"), "n", F.col("b").alias("pivot"), "i", "component", F.explode(F.array_except("sa", "sb")).alias("shingle")
+    )
+    residue = written(residue, "residue")
+    shared = residue.groupBy("pivot", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    residue = residue.join(shared.select("pivot", "shingle"), ["pivot", "shingle"])
+    other = residue.select("pivot", "shingle", *[F.col(c).alias(c + "x") for c in _NAMES if c != "pivot"])
+    met = residue.join(other, ["pivot", "shingle"]).where("rep < repx and component != componentx")
+    met = met.groupBy("rep", "repx").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n", "nx", "i", "ix")])
+    return met.where(enough(F.least("i", "ix") + F.col("shared"), F.col("n") + F.col("nx"))).select(F.col("rep").alias("a"), F.col("repx").alias("b"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

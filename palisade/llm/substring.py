@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import pieces, strings
@@ -35,7 +35,7 @@ class SubstringRules:
     max_bits: int = 28
     block_bits: int = 20
     # Windows that a task sums up before it hands on a partial sketch.
-    flush: int = 1 << 21
+    flush: int = 1 << 22
 
 
 def _rows_of(h: np.ndarray, rules: SubstringRules, bits: int) -> list[np.ndarray]:
@@ -141,9 +141,10 @@ def repeated_filter(docs: DataFrame, rules: SubstringRules, bits: int):
 def _estimated(rules: SubstringRules, bits: int, sketch):
     """Windows estimated repeated, settled as far as one task sees.
 
-    Rows with ``c``: the least document of this task for a window, to be compared with the
-    others'.  Rows without: words ``start`` to ``stop`` of a document that an earlier window
-    in the same task already covers (``h`` only spreads them).
+    Rows with ``place`` >= 0: the least document of this task for a window, to be compared
+    with the others'; ``place`` holds 31 check bits of the window above its start.  Rows with
+    ``place`` < 0: words of a document, from ``-1 - place`` on, that an earlier window in the
+    same task already covers (their ``h`` only spreads them).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,52 +181,55 @@ def _estimated(rules: SubstringRules, bits: int, sketch):
 
 
 def _table(h, c, doc, start, later_doc, later_start, window: int) -> pa.RecordBatch:
-    """Candidates, then the later windows joined to stretches of words."""
+    """Candidates, then the later windows: of a stretch only as many as it takes to cover it."""
     order = np.lexsort((later_start, later_doc))
     d, s = later_doc[order], later_start[order].astype(np.int64)
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + window)
     at = np.flatnonzero(new)
-    stop = s[np.append(at[1:] - 1, len(s) - 1)] + window if len(at) else s
-    n, m = len(h), len(at)
-    gone = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
+    begin = s[at[np.cumsum(new) - 1]] if len(s) else s
+    first = new.copy()  # of the starts within the same multiple of the window's length
+    first[1:] |= ((s - begin) // window)[1:] != ((s - begin) // window)[:-1]
+    need = first | np.append(first[1:], True)[: len(s)]  # and the last of them
+    d, s = d[need], s[need]
+    spread = mix((d * 31 + s).view(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([h.view(np.int64), mix((d[at] * 31 + s[at]).view(np.uint64)).view(np.int64)])),
-        pa.array(np.concatenate([c.view(np.int32), np.zeros(m, np.int32)]), mask=gone),
-        pa.array(np.concatenate([doc, d[at]])),
-        pa.array(np.concatenate([start, s[at].astype(np.int32)])),
-        pa.array(np.concatenate([start + window, stop.astype(np.int32)]).astype(np.int32)),
-    ], ["h", "c", "id", "start", "stop"])
+        pa.array(np.concatenate([h.view(np.int64), spread])),
+        pa.array(np.concatenate([(c.astype(np.int64) >> 1 << 32) + start, -1 - s])),
+        pa.array(np.concatenate([doc, d])),
+    ], ["h", "place", "id"])
 
 
-def removed_stretches(docs: DataFrame, rules: SubstringRules = SubstringRules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, start, stop)``: word stretches of each document covered by a window that also
-    starts earlier in the corpus.  Stretches of one document may overlap.
+def removed_windows(docs: DataFrame, rules: SubstringRules = SubstringRules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, start)``: windows of each document that cover all its words covered by a window
+    that also starts earlier in the corpus.
 
     Each task hands on one row per window that it holds, however often, so the rows of a
-    passage that a third of the documents share are as few as tasks.
+    passage that a third of the documents share are as few as tasks, and one shuffle with a
+    minimum per window settles the rest.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     bits = sketch_bits(source, rules, "text")
     sketch = repeated_filter(source, rules, bits)
-    seen = source.mapInArrow(_estimated(rules, bits, sketch), "h long, c int, id long, start int, stop int")
-    # The least document of a window: a partial minimum, then a join that AQE can split.
-    least = seen.where("c is not null").groupBy("h", "c").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    least = least.where("least < most").select("h", "c", "least")
-    return seen.join(least, ["h", "c"], "left").where("c is null or id > least").select("id", "start", "stop")
+    seen = source.mapInArrow(_estimated(rules, bits, sketch), "h long, place long, id long")
+    window = Window.partitionBy("h", F.shiftright("place", 32))
+    settled = seen.withColumn("least", F.min("id").over(window)).where("place < 0 or id > least")
+    start = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)))
+    return settled.select("id", start.cast("int").alias("start"))
 
 
-def _cut(doc_id: str):
+def _cut(doc_id: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1, 4 << 20):
-            texts, starts, stops = batch.column(1).to_pylist(), batch.column(2), batch.column(3)
+            texts, starts = batch.column(1).to_pylist(), batch.column(2)
             total, gone, sha, out = [], [], [], []
             for i, text in enumerate(texts):
                 parts = (text or "").encode().split()
                 cut = np.zeros(len(parts) + 1, np.int32)
                 if starts[i].is_valid:
-                    np.add.at(cut, starts[i].values.to_numpy(), 1)
-                    np.add.at(cut, stops[i].values.to_numpy(), -1)
+                    at = starts[i].values.to_numpy()
+                    np.add.at(cut, at, 1)
+                    np.add.at(cut, at + window, -1)
                 stay = np.cumsum(cut)[:-1] <= 0
                 left = b" ".join(parts if stay.all() else [parts[j] for j in np.flatnonzero(stay)])
                 total.append(len(parts))
@@ -242,10 +246,8 @@ def _cut(doc_id: str):
 
 def dedup_substrings(docs: DataFrame, rules: SubstringRules = SubstringRules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 and kept_text (kept words, one space between)."""
-    stretches = removed_stretches(docs, rules, doc_id, text)
-    per_doc = stretches.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
-    per_doc = per_doc.select("id", F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
+    per_doc = removed_windows(docs, rules, doc_id, text).groupBy("id").agg(F.collect_list("start").alias("starts"))
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    joined = source.join(per_doc, "id", "left").select("id", "text", "starts", "stops")
+    joined = source.join(per_doc, "id", "left").select("id", "text", "starts")
     schema = f"`{doc_id}` long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return joined.mapInArrow(_cut(doc_id), schema)
+    return joined.mapInArrow(_cut(doc_id, rules.window), schema)

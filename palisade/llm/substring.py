@@ -160,7 +160,9 @@ def _estimated(rules: SubstringRules, bits: int, sketch):
             twin = np.zeros(len(h), bool)  # the same place of a repeated row is judged as the first of its kind
             twin[1:] = same[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
             later = same[np.maximum.accumulate(np.where(twin, 0, np.arange(len(h))))]
-            return _table(h[~same], c[~same], doc[~same], start[~same], doc[later], start[later], rules.window)
+            send = np.flatnonzero(~same)
+            send = send[np.lexsort((start[send], doc[send]))]  # in text order rows compress best
+            return _table(h[send], c[send], doc[send], start[send], doc[later], start[later], rules.window)
 
         for batch, first, at, row, h, c in _blocks(batches, rules, True):
             ok = np.ones(len(h), bool)
@@ -218,13 +220,26 @@ def removed_windows(docs: DataFrame, rules: SubstringRules = SubstringRules(), d
     return settled.select("id", start.cast("int").alias("start"))
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd frames, for the shuffle that brings them to their windows."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in pieces(batches, 1):
+        packed = [squeeze.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
+
+
 def _cut(doc_id: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1, 4 << 20):
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor()
+        for batch in pieces(batches, 1, 2 << 20):
             texts, starts = batch.column(1).to_pylist(), batch.column(2)
             total, gone, sha, out = [], [], [], []
             for i, text in enumerate(texts):
-                parts = (text or "").encode().split()
+                parts = expand.decompress(text).split()
                 cut = np.zeros(len(parts) + 1, np.int32)
                 if starts[i].is_valid:
                     at = starts[i].values.to_numpy()
@@ -248,6 +263,7 @@ def dedup_substrings(docs: DataFrame, rules: SubstringRules = SubstringRules(),
     """Per row: id, n_words, n_removed, kept_sha256 and kept_text (kept words, one space between)."""
     per_doc = removed_windows(docs, rules, doc_id, text).groupBy("id").agg(F.collect_list("start").alias("starts"))
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    joined = source.join(per_doc, "id", "left").select("id", "text", "starts")
+    packed = source.mapInArrow(_squeeze, "id long, packed binary")
+    joined = packed.join(per_doc, "id", "left").select("id", "packed", "starts")
     schema = f"`{doc_id}` long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return joined.mapInArrow(_cut(doc_id, rules.window), schema)

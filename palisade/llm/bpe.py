@@ -98,34 +98,42 @@ class PerfectHash:
         return self.values[at] if self.keys[at] == key else -1
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
     """Ids of a piece: always join the neighbours of least rank, the leftmost of equals.
 
-    Parts are a linked list over byte positions; a heap holds possible joins, and one whose
-    parts have changed since is skipped, so a piece of n bytes takes O(n log n).
+    Parts are a linked list over byte positions.  A heap holds possible joins as one integer,
+    rank above position; one whose rank is no longer that of its position is skipped, so a
+    piece of n bytes takes O(n log n).  ``pairs`` has the rank of each two bytes, or -1.
     """
     n = len(piece)
-    end = list(range(1, n + 1))  # of the part that starts here; 0 once it was joined to the left
+    shift = n.bit_length()
+    mask = (1 << shift) - 1
+    end = list(range(1, n + 1))  # of the part that starts here
     before = list(range(-1, n))
-    joins = []
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            joins.append((rank, i, i + 2))
+    joint = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # rank of this part with the next, or -1
+    joint.append(-1)
+    joins = [rank << shift | i for i, rank in enumerate(joint) if rank >= 0]
     heapq.heapify(joins)
+    get, pop, push = ranks.get, heapq.heappop, heapq.heappush
     while joins:
-        _, i, stop = heapq.heappop(joins)
-        j = end[i]
-        if not j or j >= n or end[j] != stop:
+        first = pop(joins)
+        i = first & mask
+        if joint[i] != first >> shift:
             continue
-        end[i], end[j] = stop, 0
+        j = end[i]
+        stop = end[i] = end[j]
+        joint[j] = rank = -1
         if stop < n:
             before[stop] = i
-            if end[stop] - i <= longest and (rank := ranks.get(piece[i : end[stop]])) is not None:
-                heapq.heappush(joins, (rank, i, end[stop]))
+            rank = get(piece[i : end[stop]], -1)
+            if rank >= 0:
+                push(joins, rank << shift | i)
+        joint[i] = rank
         p = before[i]
-        if p >= 0 and stop - p <= longest and (rank := ranks.get(piece[p:stop])) is not None:
-            heapq.heappush(joins, (rank, p, stop))
+        if p >= 0:
+            joint[p] = rank = get(piece[p:stop], -1)
+            if rank >= 0:
+                push(joins, rank << shift | p)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -145,19 +153,20 @@ class Encoder(dict):
 
         super().__init__()
         self.ranks, self.memory = ranks, memory
-        self.longest = max(map(len, ranks), default=0)
+        self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         keys = sorted(ranks, key=ranks.get)
         self.ids = [ranks[k] for k in keys]
         self.whole = PerfectHash(keys)
         self.digest = xxhash.xxh3_64_intdigest
         self.split = regex.compile(PATTERN).findall
         self.token = dict(zip(self.ids, keys))
+        self.pack = {i: i.to_bytes(4, "little") for i in self.ids}
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         found = self.whole.find(raw, self.digest)
-        ids = [self.ids[found]] if found >= 0 else merge(raw, self.ranks, self.longest)
-        packed = np.array(ids, "<u4").tobytes()
+        ids = [self.ids[found]] if found >= 0 else merge(raw, self.ranks, self.pairs)
+        packed = b"".join([self.pack[i] for i in ids])
         if len(raw) <= 64:
             if len(self) >= self.memory:
                 self.clear()

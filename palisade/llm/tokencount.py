@@ -32,6 +32,22 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not special(i)]
 
 
+class Spaced(dict):
+    """Piece counts of words with one mark before each, worked out when first asked for."""
+
+    def __init__(self, best, memory: int):
+        super().__init__()
+        self.best, self.memory = best, memory
+
+    def __missing__(self, word: str) -> int:
+        found = self.best(SPACE_MARK + word)
+        if len(word) <= 64:
+            if len(self) >= self.memory:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Counter:
     """Counts pieces; chunks that no piece can cross are counted once and remembered."""
 
@@ -49,13 +65,22 @@ class Counter:
         self.by_space = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p, _ in vocabulary)
         self.by_line = not any("\n" in p for p, _ in vocabulary)
         self.memory, self.known = memory, {}
+        self.spaced = Spaced(self.best, memory)
 
     def best(self, text: str) -> int:
         """Piece count of the best segmentation of a text of marks and characters."""
         n = len(text)
         if not n:
             return 0
-        score, count, byte_count = [0.0] * (n + 1), [0] * (n + 1), 0
+        score, count = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        if self.single.issuperset(text):
+            # Every position is reached; pieces that end together come longest first.
+            for at, (length, value) in self.machine.iter(text):
+                at += 1
+                total = score[at - length] + value
+                if total > score[at]:
+                    score[at], count[at] = total, count[at - length] + 1
+            return count[n]
         ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for at, found in self.machine.iter(text):
             ending[at].append(found)
@@ -90,9 +115,13 @@ class Counter:
         if not self.by_space:
             return self.best(SPACE_MARK + text.replace(" ", SPACE_MARK))
         lines = text.split("\n") if self.by_line else [text]
-        total, get = len(lines) - 1, self.known.get
+        total, get, spaced = len(lines) - 1, self.known.get, self.spaced.__getitem__
         for number, line in enumerate(lines):
             words = line.split(" ")
+            if "" not in words:
+                total += spaced(words[0]) if number == 0 else self.chunk(words[0])
+                total += sum(map(spaced, words[1:]))
+                continue
             head, rest = (SPACE_MARK + words[0], words[1:]) if number == 0 else (words[0], words[1:])
             marks = 0
             if head == SPACE_MARK and rest:  # marks before a word belong to its chunk

@@ -141,13 +141,20 @@ def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
     return out
 
 
+class Tokens(dict):
+    """Bytes of ids; ids that are none have none."""
+
+    def __missing__(self, _: int) -> bytes:
+        return b""
+
+
 class Encoder(dict):
     """Packed ids (little-endian unsigned 32 bits) of a pre-token, by two tiers.
 
     Being a dict it also remembers recent pre-tokens, up to ``memory`` of them.
     """
 
-    def __init__(self, ranks: dict[bytes, int], memory: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], memory: int = 400_000):
         import regex
         import xxhash
 
@@ -159,7 +166,7 @@ class Encoder(dict):
         self.whole = PerfectHash(keys)
         self.digest = xxhash.xxh3_64_intdigest
         self.split = regex.compile(PATTERN).findall
-        self.token = dict(zip(self.ids, keys))
+        self.token = Tokens(zip(self.ids, keys))
         self.pack = {i: i.to_bytes(4, "little") for i in self.ids}
 
     def __missing__(self, piece: str) -> bytes:
@@ -177,8 +184,7 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.split(text))) if text else b""
 
     def decode(self, packed: bytes | None) -> bytes:
-        get = self.token.get
-        return b"".join([get(i, b"") for i in np.frombuffer(packed or b"", "<u4").tolist()])
+        return b"".join(map(self.token.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
 
 
 @functools.lru_cache(maxsize=2)

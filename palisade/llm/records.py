@@ -127,34 +127,87 @@ def unframe(content: bytes) -> list[bytes]:
     return bodies
 
 
+# Fixed value: the pattern that cuts normalised words of the word-piece file before its merges.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Characters that stay as they are but for lower-casing one by one: no marks, spaces or special cases.
+PLAIN = r"[\x21-\x7e\u00a1-\u012f\u0131-\u017f]+"
+
+
 class WordIds(dict):
     """Packed ids of words between white space, encoded by the tokenizers library.
 
     Its normaliser and pre-tokeniser never look across ASCII white space, so a text is its
-    words in a row; words seen before are remembered, up to ``memory``.
+    words in a row.  Where the file cuts words by ``PIECE``, plain words are cut here and the
+    library gets new pieces many at a time, told apart again by the mark of a word's end;
+    all other words go to it whole.  Words seen before are remembered, up to ``memory``.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 400_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+        self.tokenizer, self.memory, self.longest, self.long = Tokenizer.from_file(path), memory, longest, []
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        spec = self.tokenizer.to_str()
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.by_piece = bool(suffix) and json.dumps(PIECE) in spec
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.by_piece:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain, self.cut = regex.compile(PLAIN).fullmatch, regex.compile(PIECE).findall
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind) for e in found]
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for i in range(0, len(new), 1024):
+            some = new[i : i + 1024]
+            (ids,) = self._whole([" ".join(some)])
+            edges = np.flatnonzero(self.ends[ids]) + 1
+            if len(edges) == len(some) and edges[-1] == len(ids):
+                packed, size = ids.tobytes(), self.kind.itemsize
+                at = [0, *(edges * size).tolist()]
+                self.pieces.update(zip(some, (packed[a:b] for a, b in zip(at, at[1:]))))
+            else:
+                self.pieces.update(zip(some, (x.tobytes() for x in self._whole(some))))
 
     def learn(self, texts: list[list[bytes]]) -> None:
+        for word in self.long:
+            self.pop(word, None)
         new = set()
         for words in texts:
             new.update(set(words).difference(self))
         if len(self) + len(new) > self.memory:
             self.clear()
             new = set().union(*texts)
-        fresh = list(new)
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for word, encoding in zip(some, found):
-                self[word] = np.array(encoding.ids, self.kind).tobytes()
+        self.long = [w for w in new if len(w) > self.longest]
+        cut, whole = {}, []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            if self.by_piece and len(word) <= self.longest and self.plain(text) and not any(a in text for a in self.added):
+                cut[word] = self.cut(text.lower())
+            else:
+                whole.append((word, text))
+        wanted = set().union(*cut.values())
+        fresh = list(wanted.difference(self.pieces))
+        if len(self.pieces) + len(fresh) > self.memory:
+            self.pieces.clear()
+            fresh = list(wanted)
+        self._learn_pieces(fresh)
+        get = self.pieces.__getitem__
+        for word, pieces_of in cut.items():
+            self[word] = get(pieces_of[0]) if len(pieces_of) == 1 else b"".join(map(get, pieces_of))
+        for i in range(0, len(whole), 4096):
+            some = whole[i : i + 4096]
+            for (word, _), ids in zip(some, self._whole([t for _, t in some])):
+                self[word] = ids.tobytes()
 
     def encode(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, words))

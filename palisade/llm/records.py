@@ -181,12 +181,11 @@ class WordIds(dict):
     def learn(self, texts: list[list[bytes]]) -> None:
         for word in self.long:
             self.pop(word, None)
-        new = set()
-        for words in texts:
-            new.update(set(words).difference(self))
+        every = set().union(*texts)
+        new = {w for w in every if w not in self}
         if len(self) + len(new) > self.memory:
             self.clear()
-            new = set().union(*texts)
+            new = every
         self.long = [w for w in new if len(w) > self.longest]
         cut, whole = {}, []
         for word in new:

@@ -30,6 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def free_name(columns: list[str], wish: str) -> str:
+    """``wish``, lengthened until no column has that name (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for one run's table below the shared folder."""
     return f"{shared_folder(spark)}/palisade-llm/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, decontam, langid, linededup, neardup, quality, records, substring, tokencount, urlfilter
+from palisade.llm import bpe, collocation, decontam, hardneg, langid, linededup, neardup, quality, records, sharding, substring, tokencount, urlfilter
 from palisade.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,18 +93,122 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("packed").alias("ids_crc32"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hardneg.quantised(rows.withColumn("label", label), scale=256)
+    return hardneg.hard_negatives(vectors, every=100, positives=5, negatives=10, low_percent=30, high_percent=90)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"), least=30, most_words=4, best=2000)
+
+
+def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.document_rows(table(spark, sf_dir, "documents"))
+    out = sharding.shard_rows(docs, ("lang", "source", "size"), "doc_id", "size", shards=16, law="rows")
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontaminate, op3_near_duplicates, op4_url_filter, op5_substring_dedup, op6_byte_bpe,
-        op7_token_counts, op8_quality_rules, op9_line_dedup, op10_token_records,
+        op7_token_counts, op8_quality_rules, op9_line_dedup, op10_token_records, op11_hard_negatives, op12_collocations,
+        op13_hilbert_shards,
     )
 }
 
 _SPACE = r"\x20\x09-\x0D"
 _BOILER = "|".join(quality.BOILERPLATE)
 
+
+
+def _hilbert_sql(cells: str, bits: int, n: int = 3) -> str:
+    """Common table expressions ``h0`` to ``hilbert`` over ``cells`` (columns x0, x1, ...), one per turn of the curve."""
+    xs = [f"x{i}" for i in range(n)]
+    steps, at = [f"h0 as (select * from {cells})"], 0
+
+    def add(new: dict[str, str]) -> None:
+        nonlocal at
+        kept = ", ".join(f"{e} as {x}" for x, e in new.items())
+        steps.append(f"h{at + 1} as (select * exclude ({', '.join(new)}), {kept} from h{at})")
+        at += 1
+
+    for level in range(bits - 1, 0, -1):
+        for i in range(n):
+            bit, low = 1 << level, (1 << level) - 1
+            swap = f"(xor(x0, x{i}) & {low})"
+            new = {"x0": f"case when x{i} & {bit} <> 0 then xor(x0, {low}) else xor(x0, {swap}) end"}
+            if i:
+                new[f"x{i}"] = f"case when x{i} & {bit} <> 0 then x{i} else xor(x{i}, {swap}) end"
+            add(new)
+    for i in range(1, n):
+        add({f"x{i}": f"xor(x{i}, x{i - 1})"})
+    flip = "0"
+    for level in range(bits - 1, 0, -1):
+        flip = f"xor({flip}, case when x{n - 1} & {1 << level} <> 0 then {(1 << level) - 1} else 0 end)"
+    add({x: f"xor({x}, {flip})" for x in xs})
+    index = " + ".join(
+        f"((x{i} >> {level}) & 1) * {1 << (level * n + n - 1 - i)}" for level in range(bits) for i in range(n)
+    )
+    return ",\n".join(steps) + f",\nhilbert as (select *, cast({index} as bigint) as h from h{at})"
+
+
 ORACLES: dict[str, str] = {
+    "op13_hilbert_shards": f"""
+with crc_table as materialized (select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+ lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+bodies as (select doc_id, lang, source, cast(strlen(coalesce(text, '')) + 1 as bigint) as size, list_transform(regexp_extract_all(
+ hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint)) as body, count(*) over () as total from documents),
+d as (select * exclude (body, t), xor(list_reduce(list_prepend(4294967295, body),
+ lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as text_crc32 from bodies, crc_table),
+cells as (select *, ((rank() over (order by lang nulls first) - 1) * 32 // total)::bigint as x0,
+ ((rank() over (order by source nulls first) - 1) * 32 // total)::bigint as x1,
+ ((rank() over (order by size nulls first) - 1) * 32 // total)::bigint as x2 from d),
+{_hilbert_sql("cells", 5)},
+ranked as (select *, row_number() over (order by h, doc_id nulls first) - 1 as place from hilbert),
+cut as (select *, cast(place * 16 // total as integer) as shard from ranked)
+select doc_id, size, text_crc32, 'rows' as law, shard,
+ row_number() over (partition by shard order by place) - 1 as slot, cast(null as integer) as grown_shard, h as hilbert from cut""",
+    "op11_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+      list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+      from embeddings where label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, other_id) as integer) as rank,
+ other_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, other_id) <= 10""",
+    "op12_collocations": r"""
+with d as (select row_number() over () as r, coalesce(lang, 'und') as lang,
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents),
+pieces as (select r, lang, unnest(regexp_split_to_array(body, '[.,;:!?\x0A-\x0D]')) as piece from d),
+lists as (select row_number() over () as p, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+wd as (select p, lang, unnest(ws) as w1, generate_subscripts(ws, 1) as i from lists),
+x as (select lang, w1, lead(w1, 1) over o as w2, lead(w1, 2) over o as w3, lead(w1, 3) over o as w4 from wd window o as (partition by p order by i)),
+f as materialized (select lang, 1 as k, w1 as ph, count(*) as a from x group by all
+      union all select lang, 2, w1 || ' ' || w2, count(*) from x where w2 is not null group by all having count(*) >= 30
+      union all select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) from x where w3 is not null group by all having count(*) >= 30
+      union all select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) from x where w4 is not null group by all having count(*) >= 30),
+n as (select lang, sum(a) as n from f where k = 1 group by lang),
+c as (select *, string_split(ph, ' ') as ws from f where k >= 2),
+halves as materialized (select lang, ph, k, a, cut, array_to_string(ws[1:cut], ' ') as lph, array_to_string(ws[cut+1:], ' ') as rph
+      from c, (values (1), (2), (3)) t(cut) where cut < k),
+lefts as materialized (select h.*, f.a as l from halves h join f on f.lang = h.lang and f.ph = h.lph),
+cuts as (select h.lang, h.ph, h.a, cut, l, f.a as r, cast(2000000::hugeint * h.a // (l + f.a) as bigint) as score
+      from lefts h join f on f.lang = h.lang and f.ph = h.rph),
+best as (select * from cuts qualify row_number() over (partition by lang, ph order by score, cut) = 1),
+inner_ as (select lang, a, ws, k, m, unnest(range(1, k - m + 2)) as i from c, (values (2), (3)) t(m) where m < k),
+longer as (select lang, array_to_string(ws[i:i+m-1], ' ') as ph, max(a) as a from inner_ group by all),
+kept as (select b.*, b.ph as phrase from best b left join longer o on o.lang = b.lang and o.ph = b.ph
+      where o.a is null or not (100::hugeint * o.a >= 80::hugeint * b.a)),
+top as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from top join n using (lang) where rank <= 2000""",
     "op8_quality_rules": f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as body from documents),
 w as (select r, doc_id, body, list_filter(regexp_split_to_array(body, '[{_SPACE}]+'), lambda x: x <> '') as words,

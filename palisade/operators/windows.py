@@ -50,13 +50,46 @@ def trailing_counts(counted: DataFrame, window: int) -> DataFrame:
     )
 
 
+def first_rows(rows: DataFrame, by: list[str], order: list[Column], n: int, rank: str | None = None, parts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group (numbered, if ``rank`` is given), trimmed before they are shuffled together.
+
+    Spark trims a rank filter on the map side only up to a limit.  Beyond it, rows are first
+    ranked inside parts of a group, so that a busy group is spread over ``parts`` tasks.
+    """
+    spark = rows.sparkSession
+    bound = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > bound:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(parts)))
+        inside = Window.partitionBy(*by, "_salt").orderBy(*order)
+        rows = salted.withColumn("_rn", F.row_number().over(inside)).where(F.col("_rn") <= n).drop("_rn", "_salt")
+    number = rank or "_rn"
+    ranked = rows.withColumn(number, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    ranked = ranked.where(F.col(number) <= n)
+    return ranked if rank else ranked.drop(number)
+
+
+def counted_instants(rows: DataFrame, first: int) -> DataFrame:
+    """``ip, t, n, rows``: rows per (address, instant), and its first ones by seq with their statuses."""
+    timed = rows.withColumn("t", F.unix_micros("timestamp"))
+    some = first_rows(timed.select("ip", "t", "seq", "status"), ["ip", "t"], [F.col("seq")], first)
+    some = some.groupBy("ip", "t").agg(F.collect_list(F.struct("seq", "status")).alias("rows"))
+    return timed.groupBy("ip", "t").agg(F.count("*").alias("n")).join(some, ["ip", "t"])
+
+
+def merge_instants(a: DataFrame, b: DataFrame, first: int) -> DataFrame:
+    """Counts of both added up; the first rows of both together."""
+    rows = F.slice(F.array_sort(F.flatten(F.collect_list("rows"))), 1, first).alias("rows")
+    return a.unionByName(b).groupBy("ip", "t").agg(F.sum("n").alias("n"), rows)
+
+
 def violations(rows: DataFrame, window: int, limit: int) -> DataFrame:
     """Instants with rows above the limit: ip, t, n, before, over (rows above it)."""
-    return (
-        trailing_counts(instants(rows), window)
-        .where(F.col("before") + F.col("n") > limit)
-        .withColumn("over", F.least(F.col("n"), F.col("before") + F.col("n") - limit))
-    )
+    return over_limit(trailing_counts(instants(rows), window), limit)
+
+
+def over_limit(counted: DataFrame, limit: int) -> DataFrame:
+    above = counted.where(F.col("before") + F.col("n") > limit)
+    return above.withColumn("over", F.least(F.col("n"), F.col("before") + F.col("n") - limit))
 
 
 def crossings(violating: DataFrame) -> DataFrame:
@@ -81,8 +114,7 @@ def crossing_window(rows: DataFrame, crossed: DataFrame, window: int, limit: int
     inside = placed.join(reach, ["ip", "_part"]).where(
         (F.col("t") > F.col("t_cross") - window * MICROS) & (F.col("t") <= F.col("t_cross"))
     )
-    order = Window.partitionBy("ip").orderBy("t", "seq")
-    return inside.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit + 1)
+    return first_rows(inside, ["ip"], [F.col("t"), F.col("seq")], limit + 1, "_rn")
 
 
 def top_statuses(inside: DataFrame, top: int) -> DataFrame:
@@ -131,5 +163,4 @@ def nth_rows(rows: DataFrame, n: int) -> DataFrame:
     The rank filter is applied on the map side first (at most ``n`` rows per
     address and task are shuffled).
     """
-    order = Window.partitionBy("ip").orderBy("timestamp", "seq")
-    return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == n).drop("_rn")
+    return first_rows(rows, ["ip"], [F.col("timestamp"), F.col("seq")], n, "_rn").where(F.col("_rn") == n).drop("_rn")

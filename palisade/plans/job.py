@@ -47,7 +47,7 @@ def run_scan(
     table = Snapshots(spark, f"{folder}/threats")
     logs = stage_logs(spark, options, f"{folder}/logs") if logs is None else logs
     found = threats(scan_findings(logs, options, rules), options)
-    table.write(store.merge_threats(table.read(), found, options), "scan")
+    table.update(lambda stored: store.merge_threats(stored, found, options), "scan")
     written = publish(table, block_list, options, append=True)
     purge(table, block_list, options)
     sources = {r["source"]: r.asDict() for r in admitted_metrics(logs, options, rules).collect()}
@@ -70,10 +70,16 @@ def publish(table: Snapshots, block_list: str, options: Options, append: bool, m
     written = export.export_block_list(
         chosen, block_list, options.output_format, append=append, deduplicate=options.deduplicate
     )
-    table.write(store.mark_exported(current, chosen), "exported")
+    table.update(lambda stored: mark_if_unchanged(stored, current, chosen), "exported")
     return written
 
 
+def mark_if_unchanged(stored: DataFrame, seen: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Mark what was written, but for rows that another writer has changed since they were read."""
+    same = seen.select("ip", "updated_at").join(chosen.select("ip"), "ip", "left_semi")
+    return store.mark_exported(stored, stored.join(same, ["ip", "updated_at"], "left_semi"))
+
+
 def purge(table: Snapshots, block_list: str, options: Options) -> None:
     """Drop threats past their retention, after a backup of all addresses."""
     if options.threat_retention_days <= 0:
@@ -84,4 +90,4 @@ def purge(table: Snapshots, block_list: str, options: Options) -> None:
     folder = block_list.rstrip("/").rpartition("/")[0] or "."
     gone = store.expired(current, now, options.threat_retention_days)
     if export.backup_before_purge(current, gone, folder, stamp):
-        table.write(store.purge_threats(current, now, options.threat_retention_days), "purged")
+        table.update(lambda stored: store.purge_threats(stored, now, options.threat_retention_days), "purged")

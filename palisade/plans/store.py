@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.scoring import threat_level
 from palisade.options import Options
+from palisade.plans.versions import VersionLog
 from palisade.session import hadoop_path
 
 COLUMNS = (
@@ -91,44 +95,42 @@ def mark_exported(threats: DataFrame, written: DataFrame) -> DataFrame:
 
 
 class Snapshots:
-    """A small table kept as numbered Parquet snapshots; the newest complete one is current.
+    """A small table kept as whole snapshots; the newest version names the current one.
 
-    A snapshot counts only with the ``_SUCCESS`` file its job writes last, so a
-    lost executor or driver leaves the previous one in force.  A ``tag`` (a
-    micro-batch id) makes a write repeatable: the same tag is written once.
+    A snapshot counts only once its version is claimed (``VersionLog``), so a lost executor
+    or driver leaves the previous one in force, and of two writers that started from the
+    same version the second merges again.  ``tag`` names a write (a micro-batch, a step).
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str = SCHEMA, keep: int = 3):
         self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
-
-    def _complete(self) -> list[tuple[int, str, str]]:
-        """``(version, tag, path)`` of complete snapshots, oldest first."""
-        fs, _ = hadoop_path(self.spark, self.path)
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        found = []
-        for status in fs.globStatus(jvm_path(f"{self.path}/snapshot-*/_SUCCESS")) or ():
-            folder = status.getPath().getParent()
-            _, version, tag = folder.getName().split("-", 2)
-            found.append((int(version), tag, folder.toString()))
-        return sorted(found)
+        self.log = VersionLog(spark, self.path, keep)
 
     def tags(self) -> set[str]:
-        return {tag for _, tag, _ in self._complete()}
+        return {content["tag"] for _, content in self.log.all()}
+
+    def _frame(self, content: dict) -> DataFrame:
+        if not content:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(content["path"])
 
     def read(self, before_tag: str | None = None) -> DataFrame:
         """The current snapshot, or the newest one not written under a tag (or ``tag.step``)."""
-        complete = [c for c in self._complete() if before_tag is None or c[1].split(".")[0] != before_tag]
-        if not complete:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(complete[-1][2])
+        kept = [c for _, c in self.log.all() if before_tag is None or c["tag"].split(".")[0] != before_tag]
+        return self._frame(kept[-1] if kept else {})
+
+    def update(self, change: Callable[[DataFrame], DataFrame], tag: str = "scan") -> str:
+        """Replace the table by ``change`` of it; again on the newer one, if another writer was first."""
+        while True:
+            number, content = self.log.newest()
+            target = f"{self.path}/data-{uuid.uuid4().hex}"
+            change(self._frame(content)).write.parquet(target)
+            if self.log.claim(number + 1, {"tag": tag, "path": target}):
+                self.log.trim(lambda c: [c["path"]])
+                return target
+            fs, path = hadoop_path(self.spark, target)
+            fs.delete(path, True)
 
     def write(self, table: DataFrame, tag: str = "scan") -> str:
-        complete = self._complete()
-        version = complete[-1][0] + 1 if complete else 0
-        target = f"{self.path}/snapshot-{version:08d}-{tag}"
-        table.write.mode("overwrite").parquet(target)
-        # Older snapshots are dropped only after the new one is complete.
-        fs, _ = hadoop_path(self.spark, self.path)
-        for _, _, old in complete[: max(0, len(complete) + 1 - self.keep)]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
-        return target
+        """Replace the table whatever it is by now."""
+        return self.update(lambda _: table, tag)

@@ -1,56 +1,47 @@
-"""Continuous detection: each micro-batch adds to threats, block list and state.
-
-A micro-batch runs the batch detectors over its own rows plus a bounded context
-from earlier batches, so the result after any number of batches is the one batch
-answer over all rows (rows are expected in time order between batches; see
-``late_seconds``).  The context is kept as tables in the shared folder:
-
-* ``requests`` / ``errors``: per address its newest ``limit`` rows.  They decide
-  every later window, because a window with more rows in it is over the limit anyway.
-  With ``late_seconds`` set, rows that no later window can reach are dropped too, and
-  records later than that are not taken;
-* ``sensitive``: per address the number of sensitive records so far;
-* ``findings``: per (address, analyzer, reason) what was found, so that a reason
-  scores once.
-
-Keyed state in one Python task per address would put a busy address into one task;
-here it is pre-aggregated and split like in a batch.  Every table is written under
-the batch id and read from the snapshot before it, so a repeated batch changes
-nothing.
+"""Continuous detection whose answer does not depend on how records arrive.
+
+The state holds what detectors need in a form that adds up: rows counted per (address,
+instant), sensitive records per address, findings of the row checks.  A micro-batch adds its
+own to the buckets of the addresses it holds, and everything derived from them (rate
+findings, threats) is derived again for these buckets, so a late record corrects earlier
+findings and adds nothing twice.  After any number of batches, in any order, from any number
+of queries, the threats are those of one batch over all records.
+
+Bounds: with ``late_seconds`` set, a record older than that (against the newest seen before
+its batch) is counted and not taken.  What no later record can change is settled: rate
+findings keep their sums, instants go once no window reaches them, and buckets that nobody
+touches are settled when their time comes.  Without it all instants are kept, and records
+may be late without limit.
+
+Exactly once: every commit claims the next version of the whole state, with the batch noted
+in its ledger under the query that brought it.  A query that loses a claim adds its batch to
+what the winner left.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palisade.operators import detectors as D
 from palisade.operators import windows as W
 from palisade.operators.allow import admit
-from palisade.operators.rulebook import Rulebook
+from palisade.operators.rulebook import Rulebook, searchable
 from palisade.operators.scoring import findings, merge_findings, threats
 from palisade.options import Options
-from palisade.plans import export, store
-from palisade.plans.store import Snapshots
+from palisade.plans import export
+from palisade.plans.store import COLUMNS, mark_exported
+from palisade.session import hadoop_path, once
+from palisade.streaming.state import BucketTable, LiveState
 
-REQUESTS = "ip string, seq bigint, timestamp timestamp"
-ERRORS = REQUESTS + ", status int"
-SENSITIVE = "ip string, n bigint"
-FINDINGS = (
-    "ip string, analyzer string, reason string, rank int, score int, hits bigint, "
-    "first_seen timestamp, first_seq bigint, last_seen timestamp"
-)
-
-
-def newest(rows: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` rows per address; trimmed on the map side before the shuffle."""
-    order = Window.partitionBy("ip").orderBy(F.desc("timestamp"), F.desc("seq"))
-    return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
+REQUEST, ERROR = "request", "error"
 
 
 class LiveScan:
@@ -63,130 +54,218 @@ class LiveScan:
         rules: Rulebook | None = None,
         block_list: str | None = None,
         late_seconds: int | None = None,
+        buckets: int = 64,
     ):
         self.spark, self.options, self.rules = spark, options, rules or Rulebook()
         self.allow, self.block_list, self.late_seconds = allow, block_list, late_seconds
-        self.threats = Snapshots(spark, f"{folder}/threats")
-        self.requests = Snapshots(spark, f"{folder}/requests", REQUESTS)
-        self.errors = Snapshots(spark, f"{folder}/errors", ERRORS)
-        self.sensitive = Snapshots(spark, f"{folder}/sensitive", SENSITIVE)
-        self.findings = Snapshots(spark, f"{folder}/findings", FINDINGS)
+        self.state = LiveState(spark, folder, buckets)
+        self.threats = BucketTable(self.state, "threats")
+        self.kinds = {
+            REQUEST: (options.frequency_window, options.max_requests, D.FREQUENCY, D.FREQUENCY, options.scores.frequency_violation),
+            ERROR: (options.error_window, options.max_errors, D.STATUS, "error_flood", options.scores.error_flood),
+        }
 
     # --- one micro-batch ---------------------------------------------------------
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Add one micro-batch of records; safe to repeat under the same id."""
-        tag = f"batch{batch_id}"
+    def process(self, batch: DataFrame, batch_id: int, query: str = "direct") -> None:
+        """Add one micro-batch of records; a batch that is in the state already changes nothing."""
         allow = self.allow() if callable(self.allow) else self.allow
-        newest_seen = None if self.late_seconds is None else self._newest_seen(tag)
-        admitted = self._since(admit(batch, allow), newest_seen, 0).persist(StorageLevel.MEMORY_AND_DISK)
-        found, keep = self._detect(admitted, tag, newest_seen)
-        found = found.persist(StorageLevel.MEMORY_AND_DISK)
+        slim = self._slim(admit(batch, allow)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            known = self.findings.read(tag)
-            keys = ["ip", "analyzer", "reason"]
-            new = found.join(known, keys, "left_anti")
-            # A reason known from earlier adds hits and time, but no score.
-            old = found.join(known.select(*keys), keys, "left_semi").withColumn("score", F.lit(0))
-            delta = threats(new.unionByName(old), self.options)
-            self._write(self.threats, store.merge_threats(self.threats.read(tag), delta, self.options), tag)
-            self._publish(tag)
-            self._write(self.findings, merge_findings(known, found), tag)
-            for table, rows in keep:
-                self._write(table, rows, tag)
+            while True:
+                number, now = self.state.newest()
+                if self.state.done(now, query, batch_id):
+                    break
+                content, touched, tables = self._advance(slim, now)
+                content["ledger"] = now["ledger"] | {query: [batch_id, time.time()]}
+                root, written = self.state.write(tables, touched)
+                if self.state.commit(number, content, written, touched):
+                    self.state.trim()
+                    break
+                self.state.drop(root)  # another query was first: add to what it left
         finally:
-            found.unpersist()
-            admitted.unpersist()
-
-    def _publish(self, tag: str) -> None:
-        """Append what is not exported yet to the block list, then mark it."""
-        done = f"{tag}.exported"
-        if self.block_list is None or done in self.threats.tags():
-            return
-        current = self.threats.read()
-        waiting = current.where(~F.col("exported"))
-        export.export_block_list(
-            waiting, self.block_list, self.options.output_format, append=True, deduplicate=self.options.deduplicate
-        )
-        self._write(self.threats, store.mark_exported(current, waiting), done)
-
-    def _write(self, table: Snapshots, rows: DataFrame, tag: str) -> None:
-        if tag not in table.tags():
-            table.write(rows, tag)
-
-    def _newest_seen(self, tag: str):
-        return self.requests.read(tag).agg(F.max("timestamp")).first()[0]
-
-    def _since(self, rows: DataFrame, newest_seen, window: int) -> DataFrame:
-        """Rows that can still matter: all, or those within the window and the allowed delay."""
-        if newest_seen is None:
-            return rows
-        reach = F.expr(f"interval {self.late_seconds + window} seconds")
-        return rows.where(F.col("timestamp") > F.lit(newest_seen) - reach)
-
-    def _detect(self, rows: DataFrame, tag: str, newest_seen):
-        o = self.options
-        slim = rows.select("ip", "seq", "timestamp")
-        wrong = rows.where(D.suspicious_status(F.col("status"))).select("ip", "seq", "timestamp", "status")
-        requests, errors = self.requests.read(tag), self.errors.read(tag)
-        seen = self.sensitive.read(tag)
-        flagged = D.sensitive_rows(rows, self.rules)
-        hits = [
-            D.pattern_hits(rows, self.rules, o),
-            self._rate(slim, requests, o.frequency_window, o.max_requests, D.FREQUENCY, tag),
-            self._rate(wrong, errors, o.error_window, o.max_errors, D.STATUS, tag),
-            self._sensitive(flagged, seen),
-        ]
-        counted = flagged.groupBy("ip").agg(F.count("*").alias("n")).unionByName(seen)
-        keep = [
-            (self.requests, newest(self._since(slim.unionByName(requests), newest_seen, o.frequency_window), o.max_requests)),
-            (self.errors, newest(self._since(wrong.unionByName(errors), newest_seen, o.error_window), o.max_errors)),
-            (self.sensitive, counted.groupBy("ip").agg(F.sum("n").alias("n"))),
-        ]
-        return findings(reduce(DataFrame.unionByName, hits)), keep
-
-    def _rate(self, rows: DataFrame, context: DataFrame, window: int, limit: int, analyzer: str, tag: str) -> DataFrame:
-        """Rate hits of the batch rows, counted with the context rows before them."""
-        o = self.options
-        both = context.unionByName(rows)
-        mine = rows.groupBy("ip").agg(F.min(F.unix_micros("timestamp")).alias("_from"))
-        # Context rows never report: the limit was tested when they arrived.  At an
-        # instant shared with the context the batch rows come after it.
-        shared = W.instants(context).withColumnRenamed("n", "_old")
-        over = (
-            W.violations(both, window, limit)
-            .join(mine, "ip")
-            .where(F.col("t") >= F.col("_from"))
-            .join(shared, ["ip", "t"], "left")
-            .withColumn("over", F.least("over", F.col("n") - F.coalesce("_old", F.lit(0))))
-            .where(F.col("over") > 0)
-        )
-        crossed = W.crossings(over)
-        inside = W.crossing_window(both, crossed, window, limit)
+            slim.unpersist()
+        self.publish()
+
+    def reset(self) -> None:
+        """Start the counters anew, as between two scans."""
+        self.state.reset()
+
+    def counts(self) -> dict[str, int]:
+        """What was taken in so far: entries and late rows, and per detector the records found."""
+        return self.state.newest()[1]["counts"]
+
+    def _slim(self, rows: DataFrame) -> DataFrame:
+        """One pass over the records: findings, and whether a record is sensitive or an error."""
+        checks = [c for c in D.ROW_CHECKS]
+        judged = once(searchable(rows), {
+            "found": D.checks_array(self.rules, self.options, checks), "sensitive": F.coalesce(self.rules.matches("sensitive_path"), F.lit(False)),
+        })
+        wrong = F.coalesce(D.suspicious_status(F.col("status")), F.lit(False)).alias("wrong")
+        return judged.select("ip", "seq", "timestamp", "status", "found", "sensitive", wrong, self.state.bucket().alias("bucket"))
+
+    def _advance(self, slim: DataFrame, now: dict) -> tuple[dict, set[int], dict[str, DataFrame]]:
+        """The next version's content, the buckets it touches, and the tables for these."""
+        seen, late = now["newest"], 0
+        micros = F.unix_micros("timestamp")
+        if self.late_seconds is not None and seen is not None:
+            in_time = micros > F.lit(seen - self.late_seconds * W.MICROS)
+            late = slim.where(~in_time).count()
+            slim = slim.where(in_time)
+        per = slim.groupBy("bucket").agg(
+            F.count("*").alias("n"), F.max(micros).alias("t"), F.sum(F.size("found")).alias("found"),
+            F.count_if("sensitive").alias("sensitive"), F.count_if("wrong").alias("wrong"),
+        ).collect()
+        newest = max([r["t"] for r in per if r["t"] is not None] + ([seen] if seen is not None else []), default=None)
+        final = None if self.late_seconds is None or newest is None else newest - self.late_seconds * W.MICROS
+        stamps = dict(now["stamps"])
+        for r in per:
+            stamps[str(r["bucket"])] = max(r["t"] or 0, stamps.get(str(r["bucket"]), 0))
+        widest = max(window for window, *_ in self.kinds.values()) * W.MICROS
+        gone = {b for b, t in stamps.items() if final is not None and t <= final - widest}
+        touched = {r["bucket"] for r in per} | {int(b) for b in gone}
+        counts = dict(now["counts"])
+        for name, n in {
+            "entries": sum(r["n"] for r in per), "late_rows": late, "row_findings": sum(r["found"] or 0 for r in per),
+            "sensitive": sum(r["sensitive"] for r in per), "errors": sum(r["wrong"] for r in per),
+        }.items():
+            counts[name] = counts.get(name, 0) + n
+        content = now | {"newest": newest, "stamps": {b: t for b, t in stamps.items() if b not in gone}, "counts": counts}
+        return content, touched, self._tables(slim, now, touched, final) if touched else {}
+
+    def _tables(self, slim: DataFrame, now: dict, touched: set[int], final: int | None) -> dict[str, DataFrame]:
+        old = {name: self.state.read(now, name, sorted(touched)) for name in ("instants", "rates", "sensitive", "findings", "threats")}
+        instants, rates, derived = [], [], []
+        for kind, (window, limit, analyzer, code, score) in self.kinds.items():
+            rows = (slim.where("wrong") if kind == ERROR else slim).select("ip", "seq", "timestamp", "status")
+            merged = W.merge_instants(old["instants"].where(F.col("kind") == kind).drop("kind"), W.counted_instants(rows, limit + 1), limit + 1)
+            total, settled = self._rate(kind, merged, old["rates"].where(F.col("kind") == kind), final)
+            derived.append(D.window_hits(total, analyzer, code, score))
+            kept = merged if final is None else merged.where(F.col("t") > final - window * W.MICROS)
+            instants.append(kept.select(F.lit(kind).alias("kind"), "ip", "t", "n", "rows"))
+            rates.append(settled)
+        sensitive, hits = self._sensitive(slim, old["sensitive"])
+        derived.append(hits)
+
+        era = now["era"]
+        current, earlier = old["findings"].where(F.col("era") == era), old["findings"].where(F.col("era") < era)
+        is_derived = (F.col("analyzer") != D.PATTERN) | (F.col("rank") == D.RANK["sensitive_path"])
+        found = slim.select("ip", "seq", "timestamp", F.explode("found").alias("f")).select(
+            "ip", "seq", "timestamp", F.col("timestamp").alias("last_seen"), F.lit(D.PATTERN).alias("analyzer"),
+            "f.rank", "f.reason", "f.score", F.lit(1).cast("bigint").alias("hits"),
+        )
+        by_row = merge_findings(current.where(~is_derived).drop("era"), findings(found))
+        again = findings(reduce(DataFrame.unionByName, derived))
+        all_found = by_row.unionByName(again).withColumn("era", F.lit(era)).unionByName(earlier)
+        return {
+            "instants": reduce(DataFrame.unionByName, instants), "rates": reduce(DataFrame.unionByName, rates), "sensitive": sensitive,
+            "findings": all_found, "threats": self._threats(threats(all_found.drop("era"), self.options), old["threats"]),
+        }
+
+    def _rate(self, kind: str, instants: DataFrame, settled: DataFrame, final: int | None) -> tuple[DataFrame, DataFrame]:
+        """Rate findings of all addresses (one row each), and what of them is settled at ``final``."""
+        window, limit, analyzer, _, _ = self.kinds[kind]
+        over = W.over_limit(W.trailing_counts(instants.select("ip", "t", "n"), window), limit)
+        open_ = over.join(settled.select("ip", "until"), "ip", "left").where(F.col("until").isNull() | (F.col("t") > F.col("until")))
+        crossed = W.crossings(open_)
+        fresh = crossed.join(settled, "ip", "left_anti")
+        rows = instants.select("ip", "t", F.explode("rows").alias("r"))
+        rows = rows.select("ip", F.col("r.seq").alias("seq"), F.timestamp_micros("t").alias("timestamp"), F.col("r.status").alias("status"))
+        inside = W.crossing_window(rows, fresh, window, limit)
         if analyzer == D.FREQUENCY:
-            code, score = D.FREQUENCY, o.scores.frequency_violation
             named = inside.where(F.col("_rn") == limit + 1).withColumn("reason", D.frequency_reason(window, limit))
         else:
-            code, score = "error_flood", o.scores.error_flood
             named = W.top_statuses(inside, D.TOP_STATUSES).withColumn("reason", D.error_reason(limit))
-        known = self.findings.read(tag).where(F.col("analyzer") == analyzer).select("ip", F.col("reason").alias("_known"))
-        named = named.join(known, "ip", "left").withColumn("reason", F.coalesce("_known", "reason"))
-        return D.window_hits(named, analyzer, code, score)
+        named = named.select("ip", "seq", "timestamp", "reason")
+
+        def added(part: DataFrame) -> DataFrame:
+            s, p = settled.drop("kind").alias("s"), part.alias("p")
+            both = s.join(p, F.col("s.ip") == F.col("p.ip"), "full_outer").join(named.alias("n"), F.col("n.ip") == F.col("p.ip"), "left")
+            pick = lambda c: F.coalesce(f"s.{c}", f"n.{c}").alias(c)
+            zero = F.lit(0).cast("bigint")
+            return both.select(
+                F.coalesce("s.ip", "p.ip").alias("ip"), (F.coalesce("s.hits", zero) + F.coalesce("p.hits", zero)).alias("hits"),
+                F.coalesce("s.t_cross", "p.t_cross").alias("t_cross"), pick("seq"), pick("timestamp"), pick("reason"),
+                F.greatest("s.t_last", "p.t_last").alias("t_last"),
+            )
+
+        if final is None:
+            return added(crossed), settled
+        kept = added(W.crossings(open_.where(F.col("t") <= final))).withColumns({"kind": F.lit(kind), "until": F.lit(final)})
+        return added(crossed), kept.select(*settled.columns)
 
-    def _sensitive(self, flagged: DataFrame, seen: DataFrame) -> DataFrame:
-        """Sensitive records from the n-th of an address on, counted over all batches."""
+    def _sensitive(self, slim: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Sensitive records per address (number, newest, the first ones), and the hits from the n-th on."""
         need = self.options.max_sensitive_hits
-        totals = flagged.groupBy("ip").agg(F.count("*").alias("_n"), F.max("timestamp").alias("_last"))
-        totals = totals.join(seen, "ip", "left").withColumn("_first", F.greatest(need - F.coalesce("n", F.lit(0)), F.lit(1)))
-        order = Window.partitionBy("ip").orderBy("timestamp", "seq")
-        early = flagged.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= need)
-        first = early.join(totals, "ip").where(F.col("_rn") == F.col("_first"))
-        return D.sensitive_summary_rows(first, self.options, F.col("_n") - F.col("_first") + 1, F.col("_last"))
+        rows = slim.where("sensitive").select("ip", "seq", "timestamp")
+        first = W.first_rows(rows, ["ip"], [F.col("timestamp"), F.col("seq")], need)
+        first = first.groupBy("ip").agg(F.collect_list(F.struct("timestamp", "seq")).alias("rows"))
+        new = rows.groupBy("ip").agg(F.count("*").alias("n"), F.max("timestamp").alias("last")).join(first, "ip")
+        both = old.unionByName(new).groupBy("ip").agg(
+            F.sum("n").alias("n"), F.max("last").alias("last"), F.slice(F.array_sort(F.flatten(F.collect_list("rows"))), 1, need).alias("rows"),
+        )
+        at = both.where(F.col("n") >= need).withColumn("nth", F.element_at("rows", need)).select("ip", "nth.timestamp", "nth.seq", "n", "last")
+        return both, D.sensitive_summary_rows(at, self.options, F.col("n") - (need - 1), F.col("last"))
+
+    def _threats(self, new: DataFrame, old: DataFrame) -> DataFrame:
+        """Threat rows as they are now; a row that changed is not exported."""
+        facts = ("score", "threat_level", "reasons", "hit_count", "first_seen", "last_seen")
+        known = old.select("ip", "exported", "created_at", "updated_at", F.struct(*facts).alias("was"))
+        both = new.join(known, "ip", "left")
+        same = F.coalesce(F.struct(*facts).eqNullSafe(F.col("was")), F.lit(False))
+        stamp = F.current_timestamp()
+        return both.select(
+            "ip", *facts, (same & F.coalesce("exported", F.lit(False))).alias("exported"),
+            F.coalesce("created_at", stamp).alias("created_at"), F.when(same, F.col("updated_at")).otherwise(stamp).alias("updated_at"),
+        ).select(*COLUMNS)
+
+    def publish(self) -> int:
+        """Append what is not exported yet to the block list, then mark it; returns the number of addresses."""
+        if self.block_list is None:
+            return 0
+        waiting = self.threats.read().where(~F.col("exported")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if waiting.isEmpty():
+                return 0
+            written = export.export_block_list(
+                waiting, self.block_list, self.options.output_format, append=True, deduplicate=self.options.deduplicate
+            )
+            touched = {r["b"] for r in waiting.select(self.state.bucket().alias("b")).distinct().collect()}
+            while True:
+                number, now = self.state.newest()
+                stored = self.state.read(now, "threats", sorted(touched))
+                # A row that changed meanwhile keeps waiting.
+                same = stored.join(waiting.select("ip", "updated_at"), ["ip", "updated_at"], "left_semi")
+                root, found = self.state.write({"threats": mark_exported(stored, same).select(*COLUMNS)}, touched)
+                if self.state.commit(number, now, found, touched):
+                    self.state.trim()
+                    return written
+                self.state.drop(root)
+        finally:
+            waiting.unpersist()
 
     # --- the query ---------------------------------------------------------------
 
     def start(self, records: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run over a stream of records: ``availableNow=True`` for one incremental scan,
-        ``processingTime='10 seconds'`` for continuous work."""
-        writer = records.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+        ``processingTime='10 seconds'`` for continuous work.  Any number of queries may share
+        the state; each is known by the id that Spark keeps in its checkpoint."""
+        known: list[str] = []
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            if not known:
+                known.append(query_id(self.spark, checkpoint))
+            self.process(batch, batch_id, known[0])
+
+        writer = records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that owns a checkpoint; another checkpoint is another query."""
+    fs, path = hadoop_path(spark, f"{checkpoint.rstrip('/')}/metadata")
+    stream = fs.open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()

@@ -12,6 +12,7 @@ that repeat an id follow each other; an empty table writes no file and reads as
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -129,20 +130,56 @@ def unframe(content: bytes) -> list[bytes]:
 
 # Fixed value: the pattern that cuts normalised words of the word-piece file before its merges.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 # Characters that stay as they are but for lower-casing one by one: no marks, spaces or special cases.
-PLAIN = r"[\x21-\x7e\u00a1-\u012f\u0131-\u017f]+"
+PLAIN_LETTERS = np.zeros(0x181, bool)
+PLAIN_LETTERS[[*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180)]] = True
+
+
+class Pieces:
+    """Ids of the pieces that words are cut into, one after another in one array."""
+
+    def __init__(self, kind: np.dtype):
+        self.number: dict[str, int] = {" ": 0}  # the gap between two words has no ids
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = len(self.number), len(pieces)
+        if at + n > len(self.starts):
+            more = max(at + n, 2 * len(self.starts)) - len(self.starts)
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.starts, self.sizes))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), self.ids.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[at : at + n], self.sizes[at : at + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+        self.number.update(zip(pieces, range(at, at + n)))
+
+    def words(self, cut: list[str]) -> list[bytes]:
+        """Packed ids of the words that a list of pieces, with a gap after each word, spells."""
+        at = np.fromiter(map(self.number.__getitem__, cut), np.int64, len(cut))
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - sizes), sizes)
+        packed = self.ids[place].tobytes()
+        edges = (ends[at == 0] * self.ids.itemsize).tolist()
+        return [packed[a:b] for a, b in zip([0, *edges], edges)]
 
 
 class WordIds(dict):
     """Packed ids of words between white space, encoded by the tokenizers library.
 
     Its normaliser and pre-tokeniser never look across ASCII white space, so a text is its
-    words in a row.  Where the file cuts words by ``PIECE``, plain words are cut here and the
-    library gets new pieces many at a time, told apart again by the mark of a word's end;
-    all other words go to it whole.  Words seen before are remembered, up to ``memory``.
+    words in a row.  Where the file cuts words by ``PIECE``, a batch's new plain words are
+    handled as one string: lower-cased, cut into pieces, and pieces not met before go to the
+    library many at a time, told apart again by the mark of a word's end.  All other words go
+    to it whole.  Words met before are remembered in two generations of at most ``memory``
+    words each; a word that is met again moves to the younger one, the older one is dropped
+    when the younger is full.
     """
 
-    def __init__(self, path: str, memory: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, memory: int = 300_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -154,58 +191,80 @@ class WordIds(dict):
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         spec = self.tokenizer.to_str()
         suffix = json.loads(spec)["model"].get("end_of_word_suffix")
-        self.by_piece = bool(suffix) and json.dumps(PIECE) in spec
+        self.by_piece = bool(suffix) and json.dumps(PIECE) in spec and json.loads(spec)["pre_tokenizer"]["pretokenizers"][-1] == BYTE_LEVEL
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if self.by_piece:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain, self.cut = regex.compile(PLAIN).fullmatch, regex.compile(PIECE).findall
-        self.pieces: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        self.cut = regex.compile(PIECE + "| ").findall
+        # The same merges for pieces that are cut and lower-cased already.
+        ready = json.loads(spec) | {"normalizer": None}
+        ready["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTE_LEVEL]}
+        self.ready = Tokenizer.from_str(json.dumps(ready)) if self.by_piece else self.tokenizer
+        self.older: dict[bytes, bytes] = {}
+        self.pieces = Pieces(self.kind)
+
+    def _whole(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind) for e in found]
 
     def _learn_pieces(self, new: list[str]) -> None:
         for i in range(0, len(new), 1024):
             some = new[i : i + 1024]
-            (ids,) = self._whole([" ".join(some)])
+            (ids,) = self._whole([" ".join(some)], self.ready)
             edges = np.flatnonzero(self.ends[ids]) + 1
             if len(edges) == len(some) and edges[-1] == len(ids):
-                packed, size = ids.tobytes(), self.kind.itemsize
-                at = [0, *(edges * size).tolist()]
-                self.pieces.update(zip(some, (packed[a:b] for a, b in zip(at, at[1:]))))
+                self.pieces.add(some, ids, np.diff(edges, prepend=0))
             else:
-                self.pieces.update(zip(some, (x.tobytes() for x in self._whole(some))))
+                each = self._whole(some)
+                self.pieces.add(some, np.concatenate(each), np.array([len(x) for x in each]))
+
+    def _by_piece(self, words: list[bytes]) -> list[bytes]:
+        """Plain words are learned by their pieces; returns the others."""
+        joined = b" ".join(words).decode("utf-8", "replace")
+        letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        gaps = letters == 0x20
+        odd = np.zeros(len(words), bool)
+        odd[np.cumsum(gaps)[~(gaps | PLAIN_LETTERS[np.minimum(letters, len(PLAIN_LETTERS) - 1)])]] = True
+        texts = joined.split(" ")
+        if any(a in joined for a in self.added):
+            odd |= np.fromiter((any(a in t for a in self.added) for t in texts), bool, len(texts))
+        plain = [w for w, x in zip(words, odd) if not x]
+        if plain:
+            cut = self.cut(" ".join([t for t, x in zip(texts, odd) if not x]).lower() + " ")
+            wanted = set(cut)
+            fresh = list(wanted.difference(self.pieces.number))
+            if len(self.pieces.number) + len(fresh) > 2 * self.memory:
+                self.pieces = Pieces(self.kind)
+                fresh = list(wanted - {" "})
+            self._learn_pieces(fresh)
+            self.update(zip(plain, self.pieces.words(cut)))
+        return [w for w, x in zip(words, odd) if x]
 
     def learn(self, texts: list[list[bytes]]) -> None:
         for word in self.long:
             self.pop(word, None)
         every = set().union(*texts)
-        new = {w for w in every if w not in self}
-        if len(self) + len(new) > self.memory:
+        new = every.difference(self)
+        if len(self) + len(new) > self.memory and len(self):
+            self.older = dict(self)
             self.clear()
             new = every
+        if self.older:
+            again = new.intersection(self.older)
+            self.update((w, self.older[w]) for w in again)
+            new -= again
         self.long = [w for w in new if len(w) > self.longest]
-        cut, whole = {}, []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            if self.by_piece and len(word) <= self.longest and self.plain(text) and not any(a in text for a in self.added):
-                cut[word] = self.cut(text.lower())
-            else:
-                whole.append((word, text))
-        wanted = set().union(*cut.values())
-        fresh = list(wanted.difference(self.pieces))
-        if len(self.pieces) + len(fresh) > self.memory:
-            self.pieces.clear()
-            fresh = list(wanted)
-        self._learn_pieces(fresh)
-        get = self.pieces.__getitem__
-        for word, pieces_of in cut.items():
-            self[word] = get(pieces_of[0]) if len(pieces_of) == 1 else b"".join(map(get, pieces_of))
-        for i in range(0, len(whole), 4096):
-            some = whole[i : i + 4096]
-            for (word, _), ids in zip(some, self._whole([t for _, t in some])):
+        rest = self.long
+        if self.by_piece:
+            short = [w for w in new if len(w) <= self.longest]
+            if short:
+                rest = rest + self._by_piece(short)
+        else:
+            rest = list(new)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for word, ids in zip(some, self._whole([w.decode("utf-8", "replace") for w in some])):
                 self[word] = ids.tobytes()
 
     def encode(self, words: list[bytes]) -> bytes:
@@ -217,10 +276,20 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark itself would take it: without one it is in the session's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _filesystem(folder: str):
+    """File system and path of a qualified folder, for use inside tasks."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    scheme, _, rest = folder.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else folder)
 
 
 def _write(folder: str, path: str, end_id: int, file_bytes: int):
@@ -244,7 +313,7 @@ def _write(folder: str, path: str, end_id: int, file_bytes: int):
             files.append((name, len(bodies), sum(len(b) - 9 for b in bodies) // coder.kind.itemsize))
             bodies, size = [], 0
 
-        for batch in pieces(batches, 1, 4 << 20):
+        for batch in pieces(batches, 1, 8 << 20):
             texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
             coder.learn(texts)
             for doc, words in zip(batch.column(0).to_pylist(), texts):
@@ -268,25 +337,38 @@ def write_records(
 ) -> DataFrame:
     """Encode the texts and write them to ``folder`` in ascending id order.
 
-    Returns the manifest (a written table): file, n_records, n_ids and start, the ids before
-    it.  Texts are range-partitioned by id, with the text's hash to part equal ids; file
-    names are in range order.  The manifest has one row per file, so its running sum is small.
+    Returns the manifest: file, n_records, n_ids and start, the ids before it.  Texts are
+    range-partitioned by id, with the text's hash to part equal ids; file names are in range
+    order.  Ids are added up per range part first, then inside each part.  ``folder`` is any
+    path that all executors see.
     """
+    folder = qualified(docs.sparkSession, folder)
     store, root = _filesystem(folder)
     store.create_dir(root, recursive=True)
     ordered = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     keys = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
     files = written(ordered.mapInArrow(_write(folder, path, end_id, file_bytes), "file string, n_records long, n_ids long"), "files")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    files = files.withColumn("part", F.split("file", "-")[0])
+    total, starts = 0, []
+    for row in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # a row for each range part
+        starts.append((row["part"], total))
+        total += row["n"]
+    offsets = F.broadcast(docs.sparkSession.createDataFrame(starts, "part string, offset long"))
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    return files.withColumn("inside", F.coalesce(inside, F.lit(0))).join(offsets, "part").select(
+        "file", "n_records", "n_ids", (F.col("inside") + F.col("offset")).alias("start")
+    )
 
 
 def _parse(itemsize: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for start, content, index, file in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 bodies = unframe(content.as_py())
+                offsets = np.cumsum([0, *(len(b) + 16 for b in bodies)])[:-1].astype("<u8")
+                if hashlib.sha256(offsets.tobytes()).hexdigest() != index:
+                    raise ValueError(f"{file}: its index differs from its records")
                 counts = np.array([(len(b) - 9) // itemsize for b in bodies], np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([int.from_bytes(b[1:9], "little", signed=True) if b[0] else None for b in bodies], pa.int64()),
@@ -306,14 +388,18 @@ def id_bytes(path: str) -> int:
 def read_records(spark: SparkSession, folder: str, manifest: DataFrame, itemsize: int = 2) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens``, ``packed`` (ids of 32 bits) of every record in the files.
 
-    Files are of a bounded size and read whole; every checksum is tested.
+    Files are of a bounded size and read whole; every checksum is tested, and the places of
+    the records against the file's index.
     """
+    folder = qualified(spark, folder)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rec").load(folder).select("path", "content")
     files = files.withColumn("file", F.regexp_extract("path", r"([0-9-]+)\.rec$", 1))
-    starts = manifest.select("file", "start")
+    index = spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").load(folder)
+    index = index.select(F.regexp_extract("path", r"([0-9-]+)\.idx$", 1).alias("file"), F.sha2("content", 256).alias("index"))
+    starts = manifest.select("file", "start").join(index, "file", "left")
     if manifest.limit(MANIFEST_ROWS + 1).count() <= MANIFEST_ROWS:  # a few dozen bytes each
         starts = F.broadcast(starts)
-    placed = files.join(starts, "file").select("start", "content")
+    placed = files.join(starts, "file").select("start", "content", "index", "file")
     return placed.mapInArrow(_parse(itemsize), "doc_id long, start long, n_tokens long, packed binary")
 
 
@@ -322,6 +408,7 @@ def read_shuffled(spark: SparkSession, folder: str, seed: int, itemsize: int = 2
 
     Returns ``place`` (the random key that orders the result), ``doc_id`` and ``packed``.
     """
+    folder = qualified(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)

@@ -4,9 +4,11 @@ Pass 1: every partition counts its windows in a count-min sketch; the partition
 are merged.  Counts are never too small, so a window estimated once occurs once.  Pass 2
 groups exactly the windows estimated repeated, and none that repeats is lost.
 
-Cases: null, empty and short texts have no window and lose nothing; rows that repeat an id
-are one document and do not remove each other; a row without an id takes no part and loses
-nothing; an empty table gives an empty result.
+Cases: null, empty and short texts have no window and lose nothing; equal rows (same id, same
+text) are one document and do not remove each other; rows that repeat an id with other texts
+are documents of their own, whose windows come in order of id, start and the text's hash; a
+row without an id takes no part and loses nothing; an empty table gives an empty result.
+However the rows are dealt over partitions, the result is the same.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import pieces, strings
+from palisade.llm.common import pieces, strings, written
 from palisade.llm.words import hash_spans, mix, whole_windows, window_hashes, words
 
 
+VARIANT_ROWS = 500_000  # ids with several texts are broadcast up to so many, beyond that joined
+
+
 @dataclass(frozen=True)
 class SubstringRules:
     window: int = 20
@@ -151,18 +156,19 @@ def _estimated(rules: SubstringRules, bits: int, sketch):
         table, kept, n = sketch.value, [], 0
 
         def settled() -> pa.RecordBatch:
-            h, c, doc, start = (np.concatenate([k[i] for k in kept]) for i in range(4))
+            h, c, doc, start, variant = (np.concatenate([k[i] for k in kept]) for i in range(5))
             kept.clear()
-            order = np.lexsort((start, doc, c, h))
-            h, c, doc, start = h[order], c[order], doc[order], start[order]
+            order = np.lexsort((variant, start, doc, c, h))
+            h, c, doc, start, variant = h[order], c[order], doc[order], start[order], variant[order]
             same = np.zeros(len(h), bool)
             same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
             twin = np.zeros(len(h), bool)  # the same place of a repeated row is judged as the first of its kind
-            twin[1:] = same[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+            twin[1:] = same[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (variant[1:] == variant[:-1])
             later = same[np.maximum.accumulate(np.where(twin, 0, np.arange(len(h))))]
             send = np.flatnonzero(~same)
             send = send[np.lexsort((start[send], doc[send]))]  # in text order rows compress best
-            return _table(h[send], c[send], doc[send], start[send], doc[later], start[later], rules.window)
+            first = h[send], c[send], doc[send], start[send], variant[send]
+            return _table(*first, doc[later], start[later], variant[later], rules.window)
 
         for batch, first, at, row, h, c in _blocks(batches, rules, True):
             ok = np.ones(len(h), bool)
@@ -171,7 +177,8 @@ def _estimated(rules: SubstringRules, bits: int, sketch):
             ids = batch.column(0)
             ok &= ~np.asarray(ids.is_null())[row]
             doc, mine = np.asarray(ids.fill_null(0), np.int64), row[ok]
-            kept.append((h[ok], c[ok].astype(np.uint32), doc[mine], (at[ok] - first[mine]).astype(np.int32)))
+            of = np.asarray(batch.column(2), np.int32)[mine]
+            kept.append((h[ok], c[ok].astype(np.uint32), doc[mine], (at[ok] - first[mine]).astype(np.int32), of))
             n += int(ok.sum())
             if n >= rules.flush:
                 yield settled()
@@ -182,24 +189,44 @@ def _estimated(rules: SubstringRules, bits: int, sketch):
     return run
 
 
-def _table(h, c, doc, start, later_doc, later_start, window: int) -> pa.RecordBatch:
+def _table(h, c, doc, start, variant, later_doc, later_start, later_variant, window: int) -> pa.RecordBatch:
     """Candidates, then the later windows: of a stretch only as many as it takes to cover it."""
-    order = np.lexsort((later_start, later_doc))
-    d, s = later_doc[order], later_start[order].astype(np.int64)
+    order = np.lexsort((later_start, later_variant, later_doc))
+    d, s, v = later_doc[order], later_start[order].astype(np.int64), later_variant[order]
     new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + window)
+    new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (s[1:] > s[:-1] + window)
     at = np.flatnonzero(new)
     begin = s[at[np.cumsum(new) - 1]] if len(s) else s
     first = new.copy()  # of the starts within the same multiple of the window's length
     first[1:] |= ((s - begin) // window)[1:] != ((s - begin) // window)[:-1]
     need = first | np.append(first[1:], True)[: len(s)]  # and the last of them
-    d, s = d[need], s[need]
+    d, s, v = d[need], s[need], v[need]
     spread = mix((d * 31 + s).view(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays([
         pa.array(np.concatenate([h.view(np.int64), spread])),
         pa.array(np.concatenate([(c.astype(np.int64) >> 1 << 32) + start, -1 - s])),
         pa.array(np.concatenate([doc, d])),
-    ], ["h", "place", "id"])
+        pa.array(np.concatenate([variant, v])),
+    ], ["h", "place", "id", "variant"])
+
+
+def _named(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
+    """``id``, ``text``, ``variant``; and whether an id has several texts.
+
+    ``variant`` is 0 but for the texts of such an id, which are numbered by their hashes.
+    """
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    print_ = F.sha2(F.coalesce("text", F.lit("")), 256)
+    several = source.where("id is not null").select("id", F.xxhash64("text").alias("x")).groupBy("id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    several = written(several.where("lo <> hi").select("id"), "several")
+    if several.isEmpty():
+        return source.withColumn("variant", F.lit(0)), False
+    if several.limit(VARIANT_ROWS + 1).count() <= VARIANT_ROWS:  # 8 bytes each
+        several = F.broadcast(several)
+    prints = source.join(several, "id").select("id", print_.alias("print")).distinct()
+    prints = prints.withColumn("variant", F.row_number().over(Window.partitionBy("id").orderBy("print")) - 1)
+    numbered = source.withColumn("print", print_).join(prints, ["id", "print"], "left")
+    return numbered.select("id", "text", F.coalesce("variant", F.lit(0)).alias("variant")), True
 
 
 def removed_windows(docs: DataFrame, rules: SubstringRules = SubstringRules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,14 +237,20 @@ def removed_windows(docs: DataFrame, rules: SubstringRules = SubstringRules(), d
     passage that a third of the documents share are as few as tasks, and one shuffle with a
     minimum per window settles the rest.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return _removed(*_named(docs, doc_id, text), rules).select("id", "start")
+
+
+def _removed(source: DataFrame, several: bool, rules: SubstringRules) -> DataFrame:
+    """``id``, ``variant``, ``start`` of the removed windows of ``_named`` rows."""
     bits = sketch_bits(source, rules, "text")
     sketch = repeated_filter(source, rules, bits)
-    seen = source.mapInArrow(_estimated(rules, bits, sketch), "h long, place long, id long")
+    seen = source.mapInArrow(_estimated(rules, bits, sketch), "h long, place long, id long, variant int")
     window = Window.partitionBy("h", F.shiftright("place", 32))
-    settled = seen.withColumn("least", F.min("id").over(window)).where("place < 0 or id > least")
     start = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)))
-    return settled.select("id", start.cast("int").alias("start"))
+    # One text per id: a window has one first place in it, so the id alone decides.
+    rank = F.struct("id", start.alias("start"), "variant") if several else F.col("id")
+    settled = seen.withColumn("least", F.min(rank).over(window)).where((F.col("place") < 0) | (rank > F.col("least")))
+    return settled.select("id", "variant", start.cast("int").alias("start"))
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +260,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in pieces(batches, 1):
         packed = [squeeze.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["id", "packed", "variant"])
 
 
 def _cut(doc_id: str, window: int):
@@ -261,9 +294,9 @@ def _cut(doc_id: str, window: int):
 
 def dedup_substrings(docs: DataFrame, rules: SubstringRules = SubstringRules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 and kept_text (kept words, one space between)."""
-    per_doc = removed_windows(docs, rules, doc_id, text).groupBy("id").agg(F.collect_list("start").alias("starts"))
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    packed = source.mapInArrow(_squeeze, "id long, packed binary")
-    joined = packed.join(per_doc, "id", "left").select("id", "packed", "starts")
+    source, several = _named(docs, doc_id, text)
+    per_doc = _removed(source, several, rules).groupBy("id", "variant").agg(F.collect_list("start").alias("starts"))
+    packed = source.mapInArrow(_squeeze, "id long, packed binary, variant int")
+    joined = packed.join(per_doc, ["id", "variant"], "left").select("id", "packed", "starts")
     schema = f"`{doc_id}` long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return joined.mapInArrow(_cut(doc_id, rules.window), schema)

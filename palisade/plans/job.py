@@ -16,7 +16,8 @@ from palisade.plans.scan import admitted_metrics, scan_findings
 from palisade.plans.store import Snapshots
 from palisade.session import use_utc
 from palisade.sources.allowlist import allow_from_options
-from palisade.sources.lines import read_log_table, read_logs, write_logs
+from palisade.sources.lines import read_log_table, read_logs, stream_logs, write_logs
+from palisade.streaming.live import LiveScan
 
 
 def stage_logs(spark: SparkSession, options: Options, folder: str) -> DataFrame:
@@ -59,6 +60,33 @@ def run_scan(
     }
 
 
+def run_incremental(
+    spark: SparkSession,
+    folder: str,
+    block_list: str,
+    options: Options = Options(),
+    rules: Rulebook | None = None,
+    late_seconds: int | None = None,
+    from_end: bool = False,
+    **trigger,
+) -> dict:
+    """Scan what the log files have grown by since the last run; returns counts.
+
+    Lines, state and threats move together: a run over unchanged files changes nothing, and a
+    run that was cut off is finished by the next one.  With ``processingTime`` as trigger the
+    query goes on and is returned as ``query`` instead.
+    """
+    use_utc(spark)
+    live = LiveScan(spark, f"{folder}/live", allow_from_options(spark, options), options, rules, block_list, late_seconds)
+    before = live.counts()
+    query = live.start(stream_logs(spark, options, from_end=from_end), f"{folder}/checkpoint", **trigger)
+    if trigger and not trigger.get("availableNow"):
+        return {"query": query, "live": live}
+    query.awaitTermination()
+    counts = {name: n - before.get(name, 0) for name, n in live.counts().items()}
+    return counts | {"threats": reports.level_stats(live.threats.read()).first().asDict()}
+
+
 def publish(table: Snapshots, block_list: str, options: Options, append: bool, min_level: str | None = None) -> int:
     """Write threats to the block list and mark the ones written as exported.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.options import DEFAULT_SOURCES, Options
 from palisade.session import path_exists
+from palisade.sources.growing import GrowingText
 from palisade.sources.parsers import ENTRY_FIELDS, ParseContext, parse_lines
 
 LOG_SCHEMA = (
@@ -102,6 +103,39 @@ def read_logs(spark: SparkSession, options: Options, ctx: ParseContext | None =
     return number(reduce(DataFrame.unionByName, parts))
 
 
+def stream_source(
+    spark: SparkSession,
+    source: str,
+    paths: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    ctx: ParseContext | None = None,
+    from_end: bool = False,
+) -> DataFrame:
+    """Records of one source as a stream: what its files hold by now, and what they grow by.
+
+    ``from_end`` starts behind what is there already.
+    """
+    spark.dataSource.register(GrowingText)
+    default = DEFAULT_SOURCES.get(source)
+    paths = paths or (default.paths if default else ())
+    reader = spark.readStream.format("growing_text").option("paths", ",".join(paths)).option("exclude", ",".join(exclude))
+    lines = reader.option("startingOffsets", "latest" if from_end else "earliest").load().select("value", "seq")
+    return parse_lines(lines, source, ctx).select("seq", *ENTRY_FIELDS)
+
+
+def stream_logs(spark: SparkSession, options: Options, ctx: ParseContext | None = None, from_end: bool = False) -> DataFrame:
+    """Records of all enabled sources as one stream, each numbered by its file and place in it."""
+    ctx = ctx or ParseContext.current(options.naive_time_zone)
+    parts = [
+        stream_source(spark, name, source.paths, source.exclude, ctx, from_end)
+        for name, source in options.sources.items()
+        if source.enabled
+    ]
+    if not parts:
+        raise ValueError("no source is enabled")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
     """Append records to the log table, partitioned by source and day.
 

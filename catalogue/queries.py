@@ -16,10 +16,12 @@ from palisade.operators import windows as W
 from palisade.operators.allow import allow_audit
 from palisade.operators.rulebook import searchable
 from palisade.operators.scoring import findings, threat_level, threats
+from palisade.options import SourceOptions
 from palisade.plans import export, reports, store
 from palisade.plans.scan import scan, source_metrics
 from palisade.session import shared_dir
 from palisade.sources.allowlist import allow_counts, entry_lines, intervals
+from palisade.sources.lines import stream_logs
 from palisade.sources.parsers import (
     FREE_WAF_FALLBACK,
     FREE_WAF_OBJECT,
@@ -303,6 +305,66 @@ def stream_scan(spark, sf_dir):
     return _ntz(found.select("ip", "score", "threat_level", "reasons", "hit_count", "first_seen", "last_seen"))
 
 
+SCANNED = ("ip", "score", "threat_level", "reasons", "hit_count", "first_seen", "last_seen")
+
+
+def _stream_folder(spark, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _feed(spark, live: LiveScan, records: DataFrame, folder: str, checkpoint: str) -> None:
+    """One incremental run of a query over what ``folder`` has got, after adding some records to it."""
+    records.write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(records.schema).parquet(f"{folder}/in")
+    live.start(stream, f"{folder}/{checkpoint}", availableNow=True).awaitTermination()
+
+
+def stream_rate(spark, sf_dir):
+    """Rate findings kept as state over two incremental runs."""
+    folder, records = _stream_folder(spark, "stream-rate"), I.logs(spark, sf_dir)
+    live = LiveScan(spark, f"{folder}/state", I.allow_list(spark), I.OPTIONS, I.RULES, late_seconds=3600)
+    for part in (F.col("timestamp") < _as_of(I.SPLIT_AT), F.col("timestamp") >= _as_of(I.SPLIT_AT)):
+        _feed(spark, live, records.where(part), folder, "checkpoint")
+    found = live.state.read(live.state.newest()[1], "findings").where(F.col("analyzer") == D.FREQUENCY)
+    return _ntz(found.select(
+        "ip", F.col("first_seq").alias("seq"), F.col("first_seen").alias("timestamp"), "last_seen", "analyzer", "reason", "score", "hits"
+    ))
+
+
+def stream_late(spark, sf_dir):
+    """The scan of records that arrive in any order, within the delay that is allowed."""
+    folder, records = _stream_folder(spark, "stream-late"), I.logs(spark, sf_dir)
+    live = LiveScan(spark, f"{folder}/state", I.allow_list(spark), I.OPTIONS, I.RULES, late_seconds=366 * 86_400)
+    part = F.pmod(F.xxhash64("seq"), F.lit(2))
+    for k in (1, 0):
+        _feed(spark, live, records.where(part == k), folder, "checkpoint")
+    return _ntz(live.threats.read().select(*SCANNED))
+
+
+def stream_two_queries(spark, sf_dir):
+    """The scan by two queries that share one state; the second goes on under a new checkpoint."""
+    folder, records = _stream_folder(spark, "stream-two"), I.logs(spark, sf_dir)
+    scans = [LiveScan(spark, f"{folder}/state", I.allow_list(spark), I.OPTIONS, I.RULES) for _ in range(2)]
+    part = F.pmod(F.col("seq"), F.lit(3))
+    for which, (who, name, checkpoint) in enumerate(((0, "a", "one"), (1, "b", "one"), (1, "c", "two"))):
+        _feed(spark, scans[who], records.where(part == which), f"{folder}/{name}", checkpoint)
+    return _ntz(scans[0].threats.read().select(*SCANNED))
+
+
+def stream_lines(spark, sf_dir):
+    """Log files of all sources as a stream of records; the folders get more files between two runs."""
+    folder, made = _stream_folder(spark, "stream-lines"), I.logs(spark, sf_dir).select("timestamp", "source", "raw")
+    sources = {name: SourceOptions((f"{folder}/{name}/*.txt",)) for name in ("nginx", "waf", "free_waf", "ssh")}
+    ctx = ParseContext.at("2024-02-01 00:00:00")
+    for part in (F.col("timestamp") < _as_of(I.SPLIT_AT), F.col("timestamp") >= _as_of(I.SPLIT_AT)):
+        for name in sources:
+            made.where(part & (F.col("source") == name)).select("raw").write.mode("append").text(f"{folder}/{name}")
+        stream = stream_logs(spark, I.OPTIONS.with_(sources=sources), ctx)
+        writer = stream.drop("extra", "seq").writeStream.format("parquet").option("path", f"{folder}/out")
+        writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _ntz(spark.read.parquet(f"{folder}/out"))
+
+
 def stats_sources(spark, sf_dir):
     return source_metrics(I.logs(spark, sf_dir), I.allow_list(spark), I.OPTIONS, I.RULES)
 
@@ -436,7 +498,7 @@ QUERIES: dict[str, Query] = {
         parse_auto, parse_times, record_json, ip_normalize, ip_valid, ip_private, ip_extract_text, allow_bounds,
         allow_anti_join, allow_semi_audit, detect_sensitive_path, prose_matches, rule_first_match, rate_sliding, detect_frequency,
         error_sliding, detect_error_flood, ip_request_count, ip_error_count, hits_by_reason, threats_by_ip,
-        threat_levels, threat_scan, stream_scan, threat_upsert, threat_purge, threat_delete, threat_lookup, log_purge,
+        threat_levels, threat_scan, stream_scan, stream_rate, stream_late, stream_two_queries, stream_lines, threat_upsert, threat_purge, threat_delete, threat_lookup, log_purge,
         export_detailed, export_simple, export_json, export_new_only, unexported, mark_exported, backup_ips,
         stats_levels, stats_today, stats_trend7, stats_sources, exported_count, list_threats, page_info,
         reason_severity, reason_description, score_percent, reason_preview,

@@ -81,16 +81,17 @@ def pattern_hits(
 ) -> DataFrame:
     """One hit row per record and matching check, from one pass over the records."""
     found = checks_array(rules or Rulebook(), options, checks)
-    return (
-        searchable(logs, [c for c in checks if c in BY_CODE])
-        .select("ip", "seq", "timestamp", F.explode(found).alias("_f"))
-        .select(
-            "ip", "seq", "timestamp",
-            F.col("timestamp").alias("last_seen"),
-            F.lit(PATTERN).alias("analyzer"),
-            "_f.rank", "_f.reason", "_f.score",
-            F.lit(1).cast("bigint").alias("hits"),
-        )
+    return found_hits(searchable(logs, [c for c in checks if c in BY_CODE]).withColumn("found", found))
+
+
+def found_hits(records: DataFrame) -> DataFrame:
+    """Hit rows of records whose checks are in ``found``."""
+    return records.select("ip", "seq", "timestamp", F.explode("found").alias("_f")).select(
+        "ip", "seq", "timestamp",
+        F.col("timestamp").alias("last_seen"),
+        F.lit(PATTERN).alias("analyzer"),
+        "_f.rank", "_f.reason", "_f.score",
+        F.lit(1).cast("bigint").alias("hits"),
     )
 
 
@@ -126,7 +127,10 @@ def sensitive_path_summary(
     logs: DataFrame, rules: Rulebook | None = None, options: Options = Options()
 ) -> DataFrame:
     """The same hits folded to one row per address, without a join on record level."""
-    rows = sensitive_rows(logs, rules)
+    return sensitive_summary(sensitive_rows(logs, rules), options)
+
+
+def sensitive_summary(rows: DataFrame, options: Options = Options()) -> DataFrame:
     totals = rows.groupBy("ip").agg(F.count("*").alias("_n"), F.max("timestamp").alias("_last"))
     nth = W.nth_rows(rows, options.max_sensitive_hits).join(totals, "ip")
     return sensitive_summary_rows(nth, options, F.col("_n") - (options.max_sensitive_hits - 1), F.col("_last"))
@@ -152,8 +156,11 @@ def error_reason(limit: int) -> Column:
 
 def frequency_hits(logs: DataFrame, options: Options = Options()) -> DataFrame:
     """Addresses above the request rate, one row each."""
+    return rate_hits(logs.select("ip", "seq", "timestamp"), options)
+
+
+def rate_hits(rows: DataFrame, options: Options = Options()) -> DataFrame:
     window, limit = options.frequency_window, options.max_requests
-    rows = logs.select("ip", "seq", "timestamp")
     crossed = W.crossings(W.violations(rows, window, limit))
     first = W.crossing_window(rows, crossed, window, limit).where(F.col("_rn") == limit + 1)
     named = first.withColumn("reason", frequency_reason(window, limit))
@@ -162,8 +169,11 @@ def frequency_hits(logs: DataFrame, options: Options = Options()) -> DataFrame:
 
 def error_flood_hits(logs: DataFrame, options: Options = Options()) -> DataFrame:
     """Addresses above the error rate, one row each, with the top statuses in the reason."""
+    return error_hits(logs.where(suspicious_status(F.col("status"))).select("ip", "seq", "timestamp", "status"), options)
+
+
+def error_hits(rows: DataFrame, options: Options = Options()) -> DataFrame:
     window, limit = options.error_window, options.max_errors
-    rows = logs.where(suspicious_status(F.col("status"))).select("ip", "seq", "timestamp", "status")
     crossed = W.crossings(W.violations(rows, window, limit))
     first = W.top_statuses(W.crossing_window(rows, crossed, window, limit), TOP_STATUSES)
     return window_hits(first.withColumn("reason", error_reason(limit)), STATUS, "error_flood", options.scores.error_flood)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -13,13 +14,19 @@ from palisade.operators.detectors import (
     Detector,
     checks_array,
     error_flood_hits,
+    error_hits,
+    found_hits,
     frequency_hits,
     pattern_hits,
+    rate_hits,
     sensitive_path_summary,
+    sensitive_summary,
+    suspicious_status,
 )
 from palisade.operators.rulebook import Rulebook, searchable
 from palisade.operators.scoring import findings, threats
 from palisade.options import Options
+from palisade.session import once, shared_dir
 
 
 def default_detectors(options: Options = Options(), rules: Rulebook | None = None) -> list[Detector]:
@@ -32,15 +39,54 @@ def default_detectors(options: Options = Options(), rules: Rulebook | None = Non
     ]
 
 
+def facts(admitted: DataFrame, options: Options = Options(), rules: Rulebook | None = None) -> DataFrame:
+    """What the detectors need of each record, from one pass over the records.
+
+    ``ip, seq, timestamp``, the status where it counts as an error, the row checks that
+    apply (``found``) and whether the path is sensitive.
+    """
+    rules = rules or Rulebook()
+    judged = once(searchable(admitted), {
+        "found": checks_array(rules, options), "sensitive": F.coalesce(rules.matches("sensitive_path"), F.lit(False)),
+    })
+    error = F.when(suspicious_status(F.col("status")), F.col("status")).alias("error")
+    return judged.select("ip", "seq", "timestamp", error, "found", "sensitive")
+
+
+def stage_facts(admitted: DataFrame, options: Options = Options(), rules: Rulebook | None = None) -> DataFrame:
+    """The facts as a table in the shared folder.
+
+    Records are read, judged and held against the allow list once; every detector then reads a
+    few narrow columns.  A lost executor costs a task, as nothing is kept in memory.
+    """
+    spark = admitted.sparkSession
+    table = facts(admitted, options, rules)
+    folder = f"{shared_dir(spark).rstrip('/')}/palisade-facts/{uuid.uuid4().hex}"
+    table.write.parquet(folder)
+    return spark.read.schema(table.schema).parquet(folder)
+
+
+def facts_findings(staged: DataFrame, options: Options = Options()) -> DataFrame:
+    """Findings of the default detectors over facts."""
+    slim = staged.select("ip", "seq", "timestamp")
+    errors = staged.where("error is not null").select("ip", "seq", "timestamp", F.col("error").alias("status"))
+    hits = [
+        rate_hits(slim, options), found_hits(staged.where(F.size("found") > 0)),
+        sensitive_summary(staged.where("sensitive").select("ip", "seq", "timestamp"), options), error_hits(errors, options),
+    ]
+    return findings(reduce(DataFrame.unionByName, hits))
+
+
 def scan_findings(
     admitted: DataFrame,
     options: Options = Options(),
     rules: Rulebook | None = None,
     detectors: Iterable[Detector] | None = None,
 ) -> DataFrame:
-    """Findings of all detectors over admitted records."""
-    chosen = list(detectors) if detectors is not None else default_detectors(options, rules)
-    return findings(reduce(DataFrame.unionByName, [admitted.transform(d) for d in chosen]))
+    """Findings over admitted records: of the default detectors from staged facts, or of the given ones."""
+    if detectors is None:
+        return facts_findings(stage_facts(admitted, options, rules), options)
+    return findings(reduce(DataFrame.unionByName, [admitted.transform(d) for d in detectors]))
 
 
 def scan(
@@ -52,8 +98,7 @@ def scan(
 ) -> DataFrame:
     """Threats found in ``logs``: allow list, detectors, scores and levels.
 
-    Every detector reads only the columns it needs, so over a columnar log table
-    (``sources.logs.write_logs``) only the pattern pass touches the raw lines.
+    With the default detectors the records are read once (``stage_facts``).
     """
     return threats(scan_findings(admit(logs, allow), options, rules, detectors), options)
 

@@ -68,18 +68,18 @@ def first_rows(rows: DataFrame, by: list[str], order: list[Column], n: int, rank
     return ranked if rank else ranked.drop(number)
 
 
-def counted_instants(rows: DataFrame, first: int) -> DataFrame:
-    """``ip, t, n, rows``: rows per (address, instant), and its first ones by seq with their statuses."""
+def counted_instants(rows: DataFrame, first: int, by: list[str]) -> DataFrame:
+    """``n`` and ``rows`` per group of ``by`` (an instant ``t`` among them): how many, and the first ones by seq with their statuses."""
     timed = rows.withColumn("t", F.unix_micros("timestamp"))
-    some = first_rows(timed.select("ip", "t", "seq", "status"), ["ip", "t"], [F.col("seq")], first)
-    some = some.groupBy("ip", "t").agg(F.collect_list(F.struct("seq", "status")).alias("rows"))
-    return timed.groupBy("ip", "t").agg(F.count("*").alias("n")).join(some, ["ip", "t"])
+    some = first_rows(timed.select(*by, "seq", "status"), by, [F.col("seq")], first)
+    some = some.groupBy(*by).agg(F.collect_list(F.struct("seq", "status")).alias("rows"))
+    return timed.groupBy(*by).agg(F.count("*").alias("n")).join(some, by)
 
 
-def merge_instants(a: DataFrame, b: DataFrame, first: int) -> DataFrame:
+def merge_instants(a: DataFrame, b: DataFrame, first: int, by: list[str]) -> DataFrame:
     """Counts of both added up; the first rows of both together."""
     rows = F.slice(F.array_sort(F.flatten(F.collect_list("rows"))), 1, first).alias("rows")
-    return a.unionByName(b).groupBy("ip", "t").agg(F.sum("n").alias("n"), rows)
+    return a.unionByName(b).groupBy(*by).agg(F.sum("n").alias("n"), rows)
 
 
 def violations(rows: DataFrame, window: int, limit: int) -> DataFrame:

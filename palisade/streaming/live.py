@@ -39,7 +39,7 @@ from palisade.options import Options
 from palisade.plans import export
 from palisade.plans.store import COLUMNS, mark_exported
 from palisade.session import hadoop_path, once
-from palisade.streaming.state import BucketTable, LiveState
+from palisade.streaming.state import TABLES, BucketTable, LiveState
 
 REQUEST, ERROR = "request", "error"
 
@@ -76,9 +76,10 @@ class LiveScan:
                 number, now = self.state.newest()
                 if self.state.done(now, query, batch_id):
                     break
-                content, touched, tables = self._advance(slim, now)
+                content, touched, taken, final = self._advance(slim, now)
                 content["ledger"] = now["ledger"] | {query: [batch_id, time.time()]}
-                root, written = self.state.write(tables, touched)
+                root = self.state.folder_for_write()
+                written = self._tables(root, taken, now, touched, final) if touched else {}
                 if self.state.commit(number, content, written, touched):
                     self.state.trim()
                     break
@@ -104,8 +105,8 @@ class LiveScan:
         wrong = F.coalesce(D.suspicious_status(F.col("status")), F.lit(False)).alias("wrong")
         return judged.select("ip", "seq", "timestamp", "status", "found", "sensitive", wrong, self.state.bucket().alias("bucket"))
 
-    def _advance(self, slim: DataFrame, now: dict) -> tuple[dict, set[int], dict[str, DataFrame]]:
-        """The next version's content, the buckets it touches, and the tables for these."""
+    def _advance(self, slim: DataFrame, now: dict) -> tuple[dict, set[int], DataFrame, int | None]:
+        """The next version's content, the buckets it touches, the rows taken, and up to when all is final."""
         seen, late = now["newest"], 0
         micros = F.unix_micros("timestamp")
         if self.late_seconds is not None and seen is not None:
@@ -131,36 +132,44 @@ class LiveScan:
         }.items():
             counts[name] = counts.get(name, 0) + n
         content = now | {"newest": newest, "stamps": {b: t for b, t in stamps.items() if b not in gone}, "counts": counts}
-        return content, touched, self._tables(slim, now, touched, final) if touched else {}
-
-    def _tables(self, slim: DataFrame, now: dict, touched: set[int], final: int | None) -> dict[str, DataFrame]:
-        old = {name: self.state.read(now, name, sorted(touched)) for name in ("instants", "rates", "sensitive", "findings", "threats")}
-        instants, rates, derived = [], [], []
-        for kind, (window, limit, analyzer, code, score) in self.kinds.items():
-            rows = (slim.where("wrong") if kind == ERROR else slim).select("ip", "seq", "timestamp", "status")
-            merged = W.merge_instants(old["instants"].where(F.col("kind") == kind).drop("kind"), W.counted_instants(rows, limit + 1), limit + 1)
-            total, settled = self._rate(kind, merged, old["rates"].where(F.col("kind") == kind), final)
+        return content, touched, slim, final
+
+    def _tables(self, root: str, slim: DataFrame, now: dict, touched: set[int], final: int | None) -> dict[str, dict[str, str]]:
+        """Write the touched buckets of all tables; each step reads what the one before has written."""
+        old = {name: self.state.read(now, name, sorted(touched)) for name in TABLES}
+        written: dict[str, dict[str, str]] = {}
+
+        def write(name: str, rows: DataFrame, folder: str | None = None) -> DataFrame:
+            written[name] = self.state.write(root, folder or name, rows, touched)
+            return self.state.read({"tables": written}, name)
+
+        most = max(limit for _, limit, *_ in self.kinds.values()) + 1
+        rows = slim.select("ip", "seq", "timestamp", "status", F.explode(F.when(F.col("wrong"), F.array(F.lit(REQUEST), F.lit(ERROR))).otherwise(F.array(F.lit(REQUEST)))).alias("kind"))
+        by = ["kind", "ip", "t"]
+        merged = write("instants", W.merge_instants(old["instants"], W.counted_instants(rows, most, by), most, by), "merged")
+        rates, derived, kept = [], [], []
+        for kind, (window, _, analyzer, code, score) in self.kinds.items():
+            own = merged.where(F.col("kind") == kind)
+            total, settled = self._rate(kind, own, old["rates"].where(F.col("kind") == kind), final)
             derived.append(D.window_hits(total, analyzer, code, score))
-            kept = merged if final is None else merged.where(F.col("t") > final - window * W.MICROS)
-            instants.append(kept.select(F.lit(kind).alias("kind"), "ip", "t", "n", "rows"))
             rates.append(settled)
-        sensitive, hits = self._sensitive(slim, old["sensitive"])
-        derived.append(hits)
+            if final is not None:
+                kept.append(own.where(F.col("t") > final - window * W.MICROS))
+        sensitive = write("sensitive", self._sensitive(slim, old["sensitive"]))
+        derived.append(self._sensitive_hits(sensitive))
 
         era = now["era"]
         current, earlier = old["findings"].where(F.col("era") == era), old["findings"].where(F.col("era") < era)
         is_derived = (F.col("analyzer") != D.PATTERN) | (F.col("rank") == D.RANK["sensitive_path"])
-        found = slim.select("ip", "seq", "timestamp", F.explode("found").alias("f")).select(
-            "ip", "seq", "timestamp", F.col("timestamp").alias("last_seen"), F.lit(D.PATTERN).alias("analyzer"),
-            "f.rank", "f.reason", "f.score", F.lit(1).cast("bigint").alias("hits"),
-        )
-        by_row = merge_findings(current.where(~is_derived).drop("era"), findings(found))
+        by_row = merge_findings(current.where(~is_derived).drop("era"), findings(D.found_hits(slim)))
         again = findings(reduce(DataFrame.unionByName, derived))
-        all_found = by_row.unionByName(again).withColumn("era", F.lit(era)).unionByName(earlier)
-        return {
-            "instants": reduce(DataFrame.unionByName, instants), "rates": reduce(DataFrame.unionByName, rates), "sensitive": sensitive,
-            "findings": all_found, "threats": self._threats(threats(all_found.drop("era"), self.options), old["threats"]),
-        }
+        found = write("findings", by_row.unionByName(again).withColumn("era", F.lit(era)).unionByName(earlier))
+        write("threats", self._threats(threats(found.drop("era"), self.options), old["threats"]))
+        if final is not None:
+            write("rates", reduce(DataFrame.unionByName, rates))
+            write("instants", reduce(DataFrame.unionByName, kept))
+            self.state.drop(f"{root}/merged")
+        return written
 
     def _rate(self, kind: str, instants: DataFrame, settled: DataFrame, final: int | None) -> tuple[DataFrame, DataFrame]:
         """Rate findings of all addresses (one row each), and what of them is settled at ``final``."""
@@ -194,18 +203,22 @@ class LiveScan:
         kept = added(W.crossings(open_.where(F.col("t") <= final))).withColumns({"kind": F.lit(kind), "until": F.lit(final)})
         return added(crossed), kept.select(*settled.columns)
 
-    def _sensitive(self, slim: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Sensitive records per address (number, newest, the first ones), and the hits from the n-th on."""
+    def _sensitive(self, slim: DataFrame, old: DataFrame) -> DataFrame:
+        """Sensitive records per address: number, newest, and the first ones."""
         need = self.options.max_sensitive_hits
         rows = slim.where("sensitive").select("ip", "seq", "timestamp")
         first = W.first_rows(rows, ["ip"], [F.col("timestamp"), F.col("seq")], need)
         first = first.groupBy("ip").agg(F.collect_list(F.struct("timestamp", "seq")).alias("rows"))
         new = rows.groupBy("ip").agg(F.count("*").alias("n"), F.max("timestamp").alias("last")).join(first, "ip")
-        both = old.unionByName(new).groupBy("ip").agg(
+        return old.unionByName(new).groupBy("ip").agg(
             F.sum("n").alias("n"), F.max("last").alias("last"), F.slice(F.array_sort(F.flatten(F.collect_list("rows"))), 1, need).alias("rows"),
         )
-        at = both.where(F.col("n") >= need).withColumn("nth", F.element_at("rows", need)).select("ip", "nth.timestamp", "nth.seq", "n", "last")
-        return both, D.sensitive_summary_rows(at, self.options, F.col("n") - (need - 1), F.col("last"))
+
+    def _sensitive_hits(self, rows: DataFrame) -> DataFrame:
+        """From the n-th sensitive record of an address on, however late the earlier ones came."""
+        need = self.options.max_sensitive_hits
+        at = rows.where(F.col("n") >= need).withColumn("nth", F.element_at("rows", need)).select("ip", "nth.timestamp", "nth.seq", "n", "last")
+        return D.sensitive_summary_rows(at, self.options, F.col("n") - (need - 1), F.col("last"))
 
     def _threats(self, new: DataFrame, old: DataFrame) -> DataFrame:
         """Threat rows as they are now; a row that changed is not exported."""
@@ -236,8 +249,9 @@ class LiveScan:
                 stored = self.state.read(now, "threats", sorted(touched))
                 # A row that changed meanwhile keeps waiting.
                 same = stored.join(waiting.select("ip", "updated_at"), ["ip", "updated_at"], "left_semi")
-                root, found = self.state.write({"threats": mark_exported(stored, same).select(*COLUMNS)}, touched)
-                if self.state.commit(number, now, found, touched):
+                root = self.state.folder_for_write()
+                found = self.state.write(root, "threats", mark_exported(stored, same).select(*COLUMNS), touched)
+                if self.state.commit(number, now, {"threats": found}, touched):
                     self.state.trim()
                     return written
                 self.state.drop(root)

@@ -62,18 +62,17 @@ class LiveState:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*wanted)
 
-    def write(self, tables: dict[str, DataFrame], touched: set[int]) -> tuple[str, dict[str, dict[str, str]]]:
-        """Write the touched buckets of some tables; the folder, and per table what each bucket is now (missing: empty)."""
-        root = f"{self.folder}/data/{uuid.uuid4().hex}"
+    def folder_for_write(self) -> str:
+        return f"{self.folder}/data/{uuid.uuid4().hex}"
+
+    def write(self, root: str, name: str, rows: DataFrame, touched: set[int]) -> dict[str, str]:
+        """Write the touched buckets of a table; the folder of each (missing: empty)."""
+        # One file per bucket, unless a bucket is larger than a file should be.
+        placed = rows.withColumn("bucket", self.bucket()).repartition(max(1, min(len(touched), self.buckets)), "bucket")
+        placed.write.partitionBy("bucket").option("maxRecordsPerFile", 5_000_000).parquet(f"{root}/{name}")
         fs, _ = hadoop_path(self.spark, root)
-        found: dict[str, dict[str, str]] = {}
-        for name, rows in tables.items():
-            # One file per bucket, unless a bucket is larger than a file should be.
-            placed = rows.withColumn("bucket", self.bucket()).repartition(max(1, min(len(touched), self.buckets)), "bucket")
-            placed.write.partitionBy("bucket").option("maxRecordsPerFile", 5_000_000).parquet(f"{root}/{name}")
-            parts = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/bucket=*")) or ()
-            found[name] = {p.getPath().getName().split("=")[1]: p.getPath().toString() for p in parts}
-        return root, found
+        parts = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/bucket=*")) or ()
+        return {p.getPath().getName().split("=")[1]: p.getPath().toString() for p in parts}
 
     def commit(self, number: int, content: dict, written: dict[str, dict[str, str]], touched: set[int]) -> bool:
         """Claim version ``number + 1``: ``content`` with the touched buckets replaced."""

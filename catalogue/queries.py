@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from palisade.plans import export, reports, store
 from palisade.plans.scan import scan, source_metrics
 from palisade.session import shared_dir
 from palisade.sources.allowlist import allow_counts, entry_lines, intervals
-from palisade.sources.lines import stream_logs
+from palisade.sources.lines import log_table_stats, purge_log_table, read_log_table, stream_logs, write_logs
 from palisade.sources.parsers import (
     FREE_WAF_FALLBACK,
     FREE_WAF_OBJECT,
@@ -403,6 +404,14 @@ def log_purge(spark, sf_dir):
     return _ntz(kept.select("seq", "timestamp", "ip", "source"))
 
 
+def stats_storage(spark, sf_dir):
+    """The log table after retention dropped its old days."""
+    folder = _stream_folder(spark, "log-table")
+    write_logs(I.logs(spark, sf_dir), folder)
+    purge_log_table(spark, folder, date(2024, 1, 31), 10)
+    return log_table_stats(read_log_table(spark, folder))
+
+
 def export_detailed(spark, sf_dir):
     return export.block_lines(I.threat_table(spark, sf_dir)).select("value")
 
@@ -498,7 +507,7 @@ QUERIES: dict[str, Query] = {
         parse_auto, parse_times, record_json, ip_normalize, ip_valid, ip_private, ip_extract_text, allow_bounds,
         allow_anti_join, allow_semi_audit, detect_sensitive_path, prose_matches, rule_first_match, rate_sliding, detect_frequency,
         error_sliding, detect_error_flood, ip_request_count, ip_error_count, hits_by_reason, threats_by_ip,
-        threat_levels, threat_scan, stream_scan, stream_rate, stream_late, stream_two_queries, stream_lines, threat_upsert, threat_purge, threat_delete, threat_lookup, log_purge,
+        threat_levels, threat_scan, stream_scan, stream_rate, stream_late, stream_two_queries, stream_lines, threat_upsert, threat_purge, threat_delete, threat_lookup, log_purge, stats_storage,
         export_detailed, export_simple, export_json, export_new_only, unexported, mark_exported, backup_ips,
         stats_levels, stats_today, stats_trend7, stats_sources, exported_count, list_threats, page_info,
         reason_severity, reason_description, score_percent, reason_preview,

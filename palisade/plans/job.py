@@ -14,9 +14,9 @@ from palisade.options import Options
 from palisade.plans import export, reports, store
 from palisade.plans.scan import admitted_metrics, scan_findings
 from palisade.plans.store import Snapshots
-from palisade.session import use_utc
+from palisade.session import path_exists, use_utc
 from palisade.sources.allowlist import allow_from_options
-from palisade.sources.lines import read_log_table, read_logs, stream_logs, write_logs
+from palisade.sources.lines import purge_log_table, read_log_table, read_logs, stream_logs, write_logs
 from palisade.streaming.live import LiveScan
 
 
@@ -28,8 +28,10 @@ def stage_logs(spark: SparkSession, options: Options, folder: str) -> DataFrame:
     join are paid once.
     """
     admitted = admit(read_logs(spark, options), allow_from_options(spark, options))
+    started = spark.sql("select current_timestamp()").first()[0]
     write_logs(admitted, folder, mode="overwrite")
-    return read_log_table(spark, folder)
+    # Days of earlier runs that are in no file any more stay stored, but are not scanned again.
+    return read_log_table(spark, folder).where(F.col("created_at") >= F.lit(started))
 
 
 def run_scan(
@@ -52,6 +54,8 @@ def run_scan(
     written = publish(table, block_list, options, append=True)
     purge(table, block_list, options)
     sources = {r["source"]: r.asDict() for r in admitted_metrics(logs, options, rules).collect()}
+    if path_exists(spark, f"{folder}/logs"):
+        purge_log_table(spark, f"{folder}/logs", datetime.now(timezone.utc).date(), options.retention_days)
     return {
         "entries_processed": sum(r["entries"] for r in sources.values()),
         "threats": reports.level_stats(table.read()).first().asDict(),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.options import DEFAULT_SOURCES, Options
-from palisade.session import path_exists
+from palisade.session import hadoop_path, path_exists
 from palisade.sources.growing import GrowingText
 from palisade.sources.parsers import ENTRY_FIELDS, ParseContext, parse_lines
 
@@ -137,14 +138,46 @@ def stream_logs(spark: SparkSession, options: Options, ctx: ParseContext | None
 
 
 def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
-    """Append records to the log table, partitioned by source and day.
+    """Write records to the log table, partitioned by source and day.
 
-    The rebalance hint evens out file sizes and splits a partition that is far
-    larger than the others.
+    ``overwrite`` replaces the sources and days that ``logs`` holds and keeps all others.  The
+    rebalance hint evens out file sizes and splits a partition that is far larger than the
+    others.
     """
     dated = logs.withColumns({"log_date": F.to_date("timestamp"), "created_at": F.current_timestamp()})
-    dated.hint("rebalance", "source", "log_date").write.mode(mode).partitionBy("source", "log_date").parquet(path)
+    writer = dated.hint("rebalance", "source", "log_date").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("source", "log_date").parquet(path)
 
 
-def read_log_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_log_table(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Stored records, of some days (``yyyy-MM-dd``, both included) if given; other days' files are not opened."""
+    logs = spark.read.parquet(path)
+    logs = logs.where(F.col("log_date") >= F.lit(since).cast("date")) if since else logs
+    return logs.where(F.col("log_date") <= F.lit(until).cast("date")) if until else logs
+
+
+def purge_log_table(spark: SparkSession, path: str, as_of: date, days: int) -> int:
+    """Drop the days that ended more than ``days`` days before ``as_of``; returns how many folders went.
+
+    A day is one folder per source and is dropped whole: nothing is read or rewritten, and
+    the files of all other days stay as they are.  0 days keeps everything.
+    """
+    if days <= 0:
+        return 0
+    fs, _ = hadoop_path(spark, path)
+    first = as_of - timedelta(days=days)
+    gone = 0
+    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/source=*/log_date=*")) or ():
+        day = status.getPath().getName().partition("=")[2]
+        if re.fullmatch(r"\d{4}-\d\d-\d\d", day) and date.fromisoformat(day) < first:
+            fs.delete(status.getPath(), True)
+            gone += 1
+    return gone
+
+
+def log_table_stats(logs: DataFrame) -> DataFrame:
+    """Stored records per source: how many, on how many days, the first and the last day."""
+    return logs.groupBy("source").agg(
+        F.count("*").alias("entries"), F.countDistinct("log_date").alias("days"),
+        F.min("log_date").alias("first_day"), F.max("log_date").alias("last_day"),
+    )

@@ -8,11 +8,14 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import inputs as I
 from palisade.operators import detectors as D
 from palisade.operators import windows as W
+from palisade.operators.allow import admit
 from palisade.operators.rulebook import CATEGORIES, Rulebook, any_of, minimal_literals, searchable
 from palisade.operators.scoring import findings, threats
 from palisade.options import Options
+from palisade.plans.scan import facts, scan
 
 
 def traffic(seed, n=400, step=3, whole=True):
@@ -121,3 +124,25 @@ def test_custom_rules_and_scoring(spark):
     assert (row.score, row.threat_level, row.hit_count) == (13, "CRITICAL", 4 + 1 + 2)
     by_row = D.sensitive_path_hits(logs, rules, options)
     assert [r.seq for r in by_row.orderBy("seq").collect()] == [2, 3]
+
+
+def test_a_scan_reads_the_records_once(spark, tmp_path):
+    """The detectors' plan reads the staged facts; the records' own file is in no plan after staging."""
+    logs = I.logs(spark, "/root/testdata/sf0.001").limit(300)
+    logs.write.parquet(str(tmp_path / "logs"))
+    stored = spark.read.schema(logs.schema).parquet(str(tmp_path / "logs"))
+    plan = scan(stored, I.allow_list(spark), I.OPTIONS, I.RULES)._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path) not in plan and "palisade-facts" in plan
+    facts_plan = facts(admit(stored, I.allow_list(spark)), I.OPTIONS, I.RULES)._jdf.queryExecution().executedPlan().toString()
+    assert facts_plan.count("FileScan parquet") == 1
+
+
+def test_first_rows_beyond_the_limit_of_trimming(spark):
+    """At a limit of 5,000 each task passes on at most 5,000 rows of a part of an address."""
+    rows = spark.range(20_000).select(F.lit("a").alias("ip"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") % 7000).alias("timestamp"))
+    found = W.first_rows(rows, ["ip"], [F.col("timestamp"), F.col("seq")], 5000, "rn")
+    got = [(r.timestamp, r.seq) for r in found.orderBy("rn").collect()]
+    want = sorted((r.timestamp, r.seq) for r in rows.collect())[:5000]
+    assert got == want
+    assert found._jdf.queryExecution().executedPlan().toString().count("Window [") >= 2
+    assert [(r.timestamp, r.seq) for r in W.nth_rows(rows, 4000).collect()] == [want[3999]]

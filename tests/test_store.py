@@ -1,13 +1,17 @@
 """Threat table, block lists, reports and the scheduled job."""
 
-from datetime import datetime, timedelta
+import glob
+import os
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from catalogue import inputs as I
 from palisade.options import Options, SourceOptions
 from palisade.plans import export, reports, store
 from palisade.plans.job import publish, run_scan
 from palisade.plans.store import Snapshots
+from palisade.sources.lines import log_table_stats, purge_log_table, read_log_table, write_logs
 
 T0 = datetime(2025, 12, 9, 10)
 SCAN = "ip string, score int, threat_level string, reasons array<string>, hit_count bigint, first_seen timestamp, last_seen timestamp"
@@ -120,3 +124,24 @@ def test_options_from_config():
     assert options.scores.sql_injection == 7 and dict(options.levels)["LOW"] == 1
     assert not options.sources["ssh"].enabled and options.sources["nginx"].enabled
     assert options.allow_entries == ("1.1.1.1",) and options.output_format == "simple"
+
+
+def test_log_table_keeps_other_days_and_drops_old_ones(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    logs = I.logs(spark, "/root/testdata/sf0.001").where("timestamp < timestamp '2024-01-06'")
+    write_logs(logs, path)
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/*/*/*.parquet")}
+    one = logs.where("to_date(timestamp) = date '2024-01-03' and source = 'nginx'").limit(2)
+    write_logs(one, path, mode="overwrite")  # replaces this source and day only
+    after = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/*/*/*.parquet")}
+    untouched = {f for f in before if "source=nginx/log_date=2024-01-03" not in f}
+    assert {f: after.get(f) for f in untouched} == {f: before[f] for f in untouched}
+    assert read_log_table(spark, path, "2024-01-03", "2024-01-03").where("source = 'nginx'").count() == 2
+    plan = read_log_table(spark, path, "2024-01-03")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_date" in plan and "log_date#" in plan
+    assert purge_log_table(spark, path, date(2024, 1, 6), 0) == 0
+    assert purge_log_table(spark, path, date(2024, 1, 6), 3) > 0
+    left = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/*/*/*.parquet")}
+    assert left == {f: t for f, t in after.items() if f.split("log_date=")[1][:10] >= "2024-01-03"}
+    stats = {r.source: r.first_day for r in log_table_stats(read_log_table(spark, path)).collect()}
+    assert min(stats.values()) == date(2024, 1, 3)

@@ -19,7 +19,7 @@ from palisade.operators.rulebook import searchable
 from palisade.operators.scoring import findings, threat_level, threats
 from palisade.options import SourceOptions
 from palisade.plans import export, reports, store
-from palisade.plans.scan import scan, source_metrics
+from palisade.plans.scan import detector_metrics, scan, scan_findings, source_metrics
 from palisade.session import shared_dir
 from palisade.sources.allowlist import allow_counts, entry_lines, intervals
 from palisade.sources.lines import log_table_stats, purge_log_table, read_log_table, stream_logs, write_logs
@@ -370,6 +370,11 @@ def stats_sources(spark, sf_dir):
     return source_metrics(I.logs(spark, sf_dir), I.allow_list(spark), I.OPTIONS, I.RULES)
 
 
+def stats_detectors(spark, sf_dir):
+    """Events of all detectors of one scan, the rate, error and sensitive-path ones included."""
+    return _ntz(detector_metrics(scan_findings(I.admitted(spark, sf_dir), I.OPTIONS, I.RULES)))
+
+
 # --- the threat table -----------------------------------------------------------
 
 
@@ -509,7 +514,7 @@ QUERIES: dict[str, Query] = {
         error_sliding, detect_error_flood, ip_request_count, ip_error_count, hits_by_reason, threats_by_ip,
         threat_levels, threat_scan, stream_scan, stream_rate, stream_late, stream_two_queries, stream_lines, threat_upsert, threat_purge, threat_delete, threat_lookup, log_purge, stats_storage,
         export_detailed, export_simple, export_json, export_new_only, unexported, mark_exported, backup_ips,
-        stats_levels, stats_today, stats_trend7, stats_sources, exported_count, list_threats, page_info,
+        stats_levels, stats_today, stats_trend7, stats_sources, stats_detectors, exported_count, list_threats, page_info,
         reason_severity, reason_description, score_percent, reason_preview,
     )
 }

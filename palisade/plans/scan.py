@@ -103,6 +103,14 @@ def scan(
     return threats(scan_findings(admit(logs, allow), options, rules, detectors), options)
 
 
+def detector_metrics(found: DataFrame) -> DataFrame:
+    """Events, addresses and time span of every detector, from the findings of a scan."""
+    return found.groupBy("analyzer").agg(
+        F.sum("hits").alias("events"), F.countDistinct("ip").alias("addresses"), F.countDistinct("reason").alias("reasons"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+    )
+
+
 def admitted_metrics(
     admitted: DataFrame, options: Options = Options(), rules: Rulebook | None = None
 ) -> DataFrame:

@@ -38,6 +38,13 @@ def free_name(columns: list[str], wish: str) -> str:
     return wish
 
 
+def free_prefix(columns: list[str], wish: str) -> str:
+    """``wish``, lengthened until no column begins with it."""
+    while any(c.lower().startswith(wish.lower()) for c in columns):
+        wish += "_"
+    return wish
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for one run's table below the shared folder."""
     return f"{shared_folder(spark)}/palisade-llm/{name}-{uuid.uuid4().hex}"

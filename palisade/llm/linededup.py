@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import SPACE, lower_ascii
+from palisade.llm.common import SPACE, free_prefix, lower_ascii
 
 
 def line_key(line: Column) -> Column:
@@ -26,27 +26,32 @@ def dedup_lines(
 
     Lines are exploded to their 128-bit key hash.  Counting starts with partial sums in
     each task, so a line of a third of all documents is a few rows per task when it is
-    shuffled.  Occurrences meet the frequent hashes in a join whose large partitions AQE
-    splits, come together per document as positions, and the text keeps the other ones.
-    Rows are named by id and text hash, so rows with one id but other texts stay apart.
+    shuffled.  Occurrences meet the frequent hashes, come together per document as
+    positions, and the text keeps the other ones.  Rows are named by a 128-bit hash of id
+    and text, so rows with one id but other texts stay apart.  Input columns named as the
+    two result columns are replaced.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    named = docs.withColumns({"ld_row": F.xxhash64(F.col(doc_id), body), "ld_lines": F.split(body, "\n")})
-    lines = named.select(F.col(doc_id).alias("id"), F.col("ld_row"), F.posexplode("ld_lines").alias("pos", "line"))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("ld_n_lines", "ld_n_dropped")])
+    body, p = F.coalesce(F.col(text), F.lit("")), free_prefix(docs.columns, "ld_")
+    row = [f"{p}row1", f"{p}row2"]
+    named = docs.withColumns({
+        row[0]: F.xxhash64(F.col(doc_id), body), row[1]: F.xxhash64(F.lit("row"), F.col(doc_id), body), f"{p}lines": F.split(body, "\n"),
+    })
+    lines = named.select(F.col(doc_id).alias("id"), F.col(row[0]).alias("r1"), F.col(row[1]).alias("r2"), F.posexplode(f"{p}lines").alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_key_chars)
-    lines = lines.select("id", "ld_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
+    lines = lines.select("id", "r1", "r2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
     once = lines.where("id is not null").groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
     frequent = once.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("h1", "h2")
-    dropped = lines.join(frequent, ["h1", "h2"]).groupBy("ld_row").agg(F.collect_set("pos").alias("ld_drop"))
-    out = named.join(dropped, "ld_row", "left")
-    every = F.sequence(F.lit(0), F.size("ld_lines") - 1)
-    stay = F.array_except(every, F.coalesce("ld_drop", F.array().cast("array<int>")))
-    kept = F.when(F.col("ld_drop").isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(F.col("ld_lines"), i)), "\n")
+    dropped = lines.join(frequent, ["h1", "h2"]).groupBy(F.col("r1").alias(row[0]), F.col("r2").alias(row[1])).agg(F.collect_set("pos").alias(f"{p}drop"))
+    out = named.join(dropped, row, "left")
+    every = F.sequence(F.lit(0), F.size(f"{p}lines") - 1)
+    stay = F.array_except(every, F.coalesce(f"{p}drop", F.array().cast("array<int>")))
+    kept = F.when(F.col(f"{p}drop").isNull(), F.col(text)).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.get(F.col(f"{p}lines"), i)), "\n")
     )
     counts = {
-        "ld_n_lines": F.size("ld_lines").cast("long"),
-        "ld_n_dropped": F.coalesce(F.size("ld_drop"), F.lit(0)).cast("long"),
+        "ld_n_lines": F.size(f"{p}lines").cast("long"),
+        "ld_n_dropped": F.coalesce(F.size(f"{p}drop"), F.lit(0)).cast("long"),
         text: kept,
     }
     return out.withColumns(counts).select(*[F.col(f"`{n}`") for n in docs.columns], "ld_n_lines", "ld_n_dropped")

@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import SPACE, WORD_GAP
+from palisade.llm.common import SPACE, WORD_GAP, free_prefix
+from palisade.session import once
 
 
 @dataclass(frozen=True)
@@ -157,9 +158,11 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
 def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Documents that pass, with their failed lines removed and ``n_chars`` adjusted."""
     names = docs.columns
-    out = judge(docs, rules).where("q_kept")
-    new = {"text": F.col("q_cleaned")}
+    p = free_prefix(names, "q_")
+    # Behind the barrier the filter does not reach the judging, which would run a second time.
+    out = once(judge(docs, rules, prefix=p), {f"{p}stays": F.col(f"{p}kept")}).where(f"{p}stays")
+    new = {"text": F.col(f"{p}cleaned")}
     if "n_chars" in names:
-        changed = F.when(F.col("q_n_failed_lines") > 0, F.char_length("q_cleaned")).otherwise(F.col("n_chars"))
+        changed = F.when(F.col(f"{p}n_failed_lines") > 0, F.char_length(f"{p}cleaned")).otherwise(F.col("n_chars"))
         new["n_chars"] = changed.cast(docs.schema["n_chars"].dataType)
     return out.withColumns(new).select(*[F.col(f"`{n}`") for n in names])

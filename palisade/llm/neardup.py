@@ -17,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import components, pieces, strings, written
 from palisade.llm.words import TO_LOWER, hash_spans, mix, window_hashes, whole_windows, words
 
 CIRCLE_BITS = 22
+HUB_ROUNDS = 2
 BANDS, ROWS = 32, 5  # a pair of similarity 0.8 shares no band with probability 0.672**32 = 3e-6
 
 
@@ -110,7 +111,9 @@ def near_duplicates(
     sets become one class first, so copies never meet each other.  Then every class is
     compared with one pivot, the class with most company in its bands; that makes near
     copies one component.  Candidate pairs that are still apart are compared too, except
-    those whose overlaps with a common pivot prove that they cannot be linked.
+    those whose overlaps with a common pivot prove that they cannot be linked: first each
+    class with one hub of what it shares with others outside the pivot, for some rounds, so
+    that variants of one text join without meeting pair by pair; then all that is left.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = written(source.mapInArrow(_sign(shingle, bands, rows), "id long, fp binary, n long, bands array<long>"), "minhash")
@@ -145,18 +148,50 @@ def near_duplicates(
     links = scored.where(enough(F.col("i"), F.col("s"))).select("a", "b")
     label = components(links)
 
-    # Every class with its pivot (itself, if it has none), their overlap, and its component so far.
-    placed = degree.select("rep", "n").join(scored.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "i"), "rep", "left")
-    placed = placed.join(label.toDF("rep", "component"), "rep", "left").select(
-        "rep", "n", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("i", "n").alias("i"), F.coalesce("component", "rep").alias("component")
-    )
-    split = written(_split_bands(members, placed), "split")
-    rest = _apart_in_band(split, percent, enough).unionByName(_apart_in_residue(split, with_sets, enough)).distinct()
+    # Every class with its pivot (itself, if it has none), their overlap and Jaccard distance.
+    away = 1 - F.col("i") / (F.col("s") - F.col("i"))
+    placed = degree.select("rep", "n").join(scored.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "i", away.alias("away")), "rep", "left")
+    placed = written(placed.select(
+        "rep", "n", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("i", "n").alias("i"), F.coalesce("away", F.lit(0.0)).alias("away")
+    ), "placed")
+    split = _split_bands(members, _labelled(placed, label))
+    outside = written(_outside_pivot(split, with_sets), "outside")
     tried = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "apart")
+
+    def untried(pairs: DataFrame, name: str) -> DataFrame:
+        known = tried.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+        new = (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi"))
+        return written(pairs.distinct().join(known, new, "left_anti"), name)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return written(overlaps(pairs).where(enough(F.col("i"), F.col("s"))), "links")
+
+    for _ in range(HUB_ROUNDS):
+        residue = written(_prefixes(_labelled(outside, label), percent), "residue")
+        pairs = _hub_pairs(residue, enough).unionByName(_band_hub_pairs(_split_bands(members, _labelled(placed, label)), percent))
+        pairs = untried(pairs, "hubs")
+        if pairs.isEmpty():
+            break
+        more = linked(pairs)
+        tried = tried.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        if more.isEmpty():
+            break
+        label = _joined(label, more.select("a", "b"))
+        placed = written(_placed_again(placed, more.select("a", "b", "i", away.alias("away"))), "placed")
+    split = written(_split_bands(members, _labelled(placed, label)), "split")
+    # Distances between the pivots that meet in a split band bound those between their members.
+    met = written(_meeting_pivots(split), "pivots")
+    ends = met.select("p", "q").distinct()
+    between = written(overlaps(ends.toDF("a", "b")), "between")
+    more = between.where(enough(F.col("i"), F.col("s"))).select("a", "b")
+    if not more.isEmpty():
+        label = _joined(label, more)
+        split = written(_split_bands(members, _labelled(placed, label)), "split")
+    met = written(met.join(between.select(F.col("a").alias("p"), F.col("b").alias("q"), away.alias("between")), ["p", "q"]), "distances")
+    rest = _apart_of_one_pivot(split, percent, enough).unionByName(_apart_of_two_pivots(split, met, percent))
+    rest = untried(rest.unionByName(_apart_in_residue(written(_prefixes(_labelled(outside, label), percent), "residue"), enough)), "apart")
     if not rest.isEmpty():
-        more = overlaps(rest).where(enough(F.col("i"), F.col("s"))).select("a", "b")
-        label = components(links.unionByName(written(more, "links")))
+        label = _joined(label, linked(rest).select("a", "b"))
 
     found = classes.select("fp", "rep").join(label.toDF("rep", "component"), "rep", "left")
     found = found.select("fp", F.coalesce("component", "rep").alias("component"))
@@ -175,37 +210,142 @@ def _split_bands(members: DataFrame, placed: DataFrame) -> DataFrame:
     return known.join(top.select("key", F.col("top.component").alias("top")), "key")
 
 
-_NAMES = ("rep", "n", "pivot", "i", "component")
+_NAMES = ("rep", "n", "pivot", "i", "away", "component")
+SLACK = 1e-9  # of distances in double precision
+
+
+def _outside_first(split: DataFrame) -> DataFrame:
+    """The members that are not in the band's largest component, named with an x."""
+    return split.where("component != top").select("key", *[F.col(c).alias(c + "x") for c in _NAMES])
+
 
+def _pair_apart(percent: int):
+    """Of the largest component's members each pair comes once, of the others' by order."""
+    once = (F.col("component") == F.col("top")) | (F.col("repx") < F.col("rep"))
+    return (F.col("component") != F.col("componentx")) & once & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent)
 
-def _apart_in_band(split: DataFrame, percent: int, enough) -> DataFrame:
-    """Pairs that share a band and are apart; for the members of the largest component only
-    with those outside it.  For two with one pivot P, |A & B| is at most the lesser overlap
-    with P plus what they share outside P; without the latter (see ``_apart_in_residue``)
-    the lesser overlap must be enough.
+
+def _apart_of_one_pivot(split: DataFrame, percent: int, enough) -> DataFrame:
+    """Pairs that share a band and a pivot P, and are apart.
+
+    |A & B| is at most the lesser overlap with P plus what they share outside P; without the
+    latter (see ``_apart_in_residue``) the lesser overlap must be enough.
     """
-    pairs = split.where("component != top").select("key", *[F.col(c).alias(c + "x") for c in _NAMES]).join(split, "key").where(
-        (F.col("component") != F.col("componentx"))
-        & ((F.col("component") == F.col("top")) | (F.col("repx") < F.col("rep")))
-        & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent)
-        & ((F.col("pivot") != F.col("pivotx")) | enough(F.least("i", "ix"), F.col("n") + F.col("nx")))
-    )
+    able = enough(F.col("i"), F.col("n") * (100 + percent) / 100)  # with the smallest partner there can be
+    pairs = _outside_first(split.where(able)).withColumnRenamed("pivotx", "pivot").join(split.where(able), ["key", "pivot"])
+    pairs = pairs.where(_pair_apart(percent) & enough(F.least("i", "ix"), F.col("n") + F.col("nx")))
     return pairs.select(F.least("repx", "rep").alias("a"), F.greatest("repx", "rep").alias("b"))
 
 
-def _apart_in_residue(split: DataFrame, with_sets, enough) -> DataFrame:
-    """Pairs with one pivot that are apart and share shingles outside it, so many that they may be linked."""
-    own = split.select("rep", "n", "pivot", "i", "component").distinct().where("rep != pivot")
-    residue = with_sets(own.withColumnsRenamed({"rep": "a", "pivot": "b"})).select(
-        F.col("a").alias("rep"), "n", F.col("b").alias("pivot"), "i", "component", F.explode(F.array_except("sa", "sb")).alias("shingle")
+def _meeting_pivots(split: DataFrame) -> DataFrame:
+    """``key, p, q``: two pivots with members in one band, and how far their members are from them at most."""
+    of = split.groupBy("key", "pivot").agg(F.max("away").alias("far"))
+    other = of.select("key", F.col("pivot").alias("q"), F.col("far").alias("farq"))
+    return of.select("key", F.col("pivot").alias("p"), F.col("far").alias("farp")).join(other, "key").where("p < q")
+
+
+def _apart_of_two_pivots(split: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a band, have other pivots P and Q and are apart.
+
+    Jaccard distance is a metric, so A and B are at least as far apart as P and Q are, less
+    the ways from A to P and from B to Q.  Members that this rules out meet nobody.
+    """
+    most = 1 - percent / 100 + SLACK
+    both = met.unionByName(met.select(F.col("q").alias("p"), F.col("p").alias("q"), "key", F.col("farq").alias("farp"), F.col("farp").alias("farq"), "between"))
+    near = _outside_first(split).join(both.withColumnRenamed("p", "pivotx"), ["key", "pivotx"]).where(F.col("between") - F.col("awayx") - F.col("farq") <= most)
+    near = near.select("key", F.col("q").alias("pivot"), (F.col("between") - F.col("awayx")).alias("left"), "repx", "nx", "componentx")
+    pairs = near.join(split, ["key", "pivot"]).where(_pair_apart(percent) & (F.col("left") - F.col("away") <= most))
+    return pairs.select(F.least("repx", "rep").alias("a"), F.greatest("repx", "rep").alias("b"))
+
+
+def _placed_again(placed: DataFrame, more: DataFrame) -> DataFrame:
+    """Hubs become pivots: of the classes linked to them, and of themselves."""
+    hubs = more.select(F.col("b").alias("rep")).distinct().withColumn("own", F.lit(True))
+    moved = more.groupBy("a").agg(F.min(F.struct("away", "b", "i")).alias("to")).withColumnRenamed("a", "rep")
+    both = placed.join(hubs, "rep", "left").join(moved, "rep", "left")
+    pick = lambda own, to, old: F.when(F.col("own"), own).otherwise(F.coalesce(to, old))
+    return both.select(
+        "rep", "n", pick(F.col("rep"), F.col("to.b"), F.col("pivot")).alias("pivot"), pick(F.col("n"), F.col("to.i"), F.col("i")).alias("i"),
+        pick(F.lit(0.0), F.col("to.away"), F.col("away")).alias("away"),
+    )
+
+
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after some more links: only components that these join are named again."""
+    known = label.toDF("node", "component")
+    ends = more.join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left")
+    ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    fresh = components(ends)
+    moved = known.join(fresh.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(moved.unionByName(fresh.join(known, "node", "left_anti").select("node", "component")), "components")
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the component that each ``rep`` is in by now."""
+    return rows.drop("component").join(label.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _outside_pivot(split: DataFrame, with_sets) -> DataFrame:
+    """The shingles of each class that its pivot lacks."""
+    own = split.select("rep", "n", "pivot", "i").distinct().where("rep != pivot")
+    return with_sets(own.withColumnsRenamed({"rep": "a", "pivot": "b"})).select(
+        F.col("a").alias("rep"), "n", F.col("b").alias("pivot"), "i", F.explode(F.array_except("sa", "sb")).alias("shingle")
     )
-    residue = written(residue, "residue")
-    shared = residue.groupBy("pivot", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    residue = residue.join(shared.select("pivot", "shingle"), ["pivot", "shingle"])
-    other = residue.select("pivot", "shingle", *[F.col(c).alias(c + "x") for c in _NAMES if c != "pivot"])
-    met = residue.join(other, ["pivot", "shingle"]).where("rep < repx and component != componentx")
-    met = met.groupBy("rep", "repx").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n", "nx", "i", "ix")])
-    return met.where(enough(F.least("i", "ix") + F.col("shared"), F.col("n") + F.col("nx"))).select(F.col("rep").alias("a"), F.col("repx").alias("b"))
+
+
+def _prefixes(outside: DataFrame, percent: int) -> DataFrame:
+    """Of each class, the shingles outside its pivot that a partner of another component must meet.
+
+    A partner B of A needs an overlap of at least ``percent`` of |A|; their common shingles
+    inside the pivot P are at most |A & P|, so at least ``q = percent * |A| / 100 - |A & P|`` lie
+    outside.  Shingles are ordered by how many classes of the pivot have them, those that
+    can't join two components first; two sets with q common ones share one that is not among
+    the last q - 1 of either.  ``shared`` is how many of the class's shingles can join at all.
+    """
+    held = outside.groupBy("pivot", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("f"))
+    common = outside.join(held.where("lo < hi").select("pivot", "shingle", "f"), ["pivot", "shingle"])
+    of = Window.partitionBy("rep")
+    common = common.withColumns({"shared": F.count("*").over(of), "place": F.row_number().over(of.orderBy("f", "shingle"))})
+    q = F.greatest(F.ceil(F.col("n") * percent / 100) - F.col("i"), F.lit(1))
+    return common.where(F.col("place") <= F.col("shared") - q + 1).select("rep", "n", "pivot", "i", "shared", "component", "shingle")
+
+
+_OWN = ("rep", "n", "i", "shared")
+
+
+def _may_link(enough, x: str):
+    """Whether a pair with one pivot can overlap enough, by what each has inside and outside of it."""
+    inside, outside = F.least("i", f"{x}i"), F.least("shared", f"{x}shared")
+    return enough(inside + outside, F.col("n") + F.col(f"{x}n"))
+
+
+def _hub_pairs(keyed: DataFrame, enough) -> DataFrame:
+    """At most one pair per class: with the hub that it shares most shingles with, of those in other components.
+
+    The hub of a (pivot, shingle) is the least class of the component with most members there.
+    """
+    parts = keyed.groupBy("pivot", "shingle", "component").agg(F.count("*").alias("c"), F.min(F.struct(*_OWN)).alias("hub"))
+    tops = parts.groupBy("pivot", "shingle").agg(F.max(F.struct("c", "component", "hub")).alias("top"), F.count("*").alias("parts"))
+    tops = tops.where("parts > 1").select("pivot", "shingle", F.col("top.component").alias("top"), *[F.col(f"top.hub.{c}").alias(f"h{c}") for c in _OWN])
+    met = keyed.join(tops, ["pivot", "shingle"]).where((F.col("component") != F.col("top")) & _may_link(enough, "h"))
+    met = met.groupBy("rep", "hrep").agg(F.count("*").alias("c"))
+    return met.groupBy("rep").agg(F.max(F.struct("c", "hrep")).alias("best")).select(F.col("rep").alias("a"), F.col("best.hrep").alias("b"))
+
+
+def _band_hub_pairs(split: DataFrame, percent: int) -> DataFrame:
+    """The same over bands: each class outside a band's largest component with the least class of that, one hub each."""
+    parts = split.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("hub"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("c", "component", "hub")).alias("most")).select("key", F.col("most.hub.rep").alias("hrep"), F.col("most.hub.n").alias("hn"))
+    met = split.where("component != top").join(tops, "key").where(F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent)
+    met = met.groupBy("rep", "hrep").agg(F.count("*").alias("c")).where("rep != hrep")
+    return met.groupBy("rep").agg(F.max(F.struct("c", "hrep")).alias("best")).select(F.col("rep").alias("a"), F.col("best.hrep").alias("b"))
+
+
+def _apart_in_residue(keyed: DataFrame, enough) -> DataFrame:
+    """Pairs with one pivot that are apart, meet outside it and can overlap enough."""
+    other = keyed.select("pivot", "shingle", *[F.col(c).alias("x" + c) for c in (*_OWN, "component")])
+    met = keyed.join(other, ["pivot", "shingle"]).where((F.col("rep") < F.col("xrep")) & (F.col("component") != F.col("xcomponent")) & _may_link(enough, "x"))
+    return met.select(F.col("rep").alias("a"), F.col("xrep").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -1,5 +1,6 @@
 """Near duplicates, substrings, lines, quality and decontamination against brute force."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -228,3 +229,89 @@ def test_pipeline_stages_on_edges(spark, edges, empty):
         for docs in (edges, empty):
             out = stage(spark, docs.drop("key", "id"), SF)
             assert out.count() <= docs.count() and (name == "encode" or out.columns == docs.drop("key", "id").columns)
+
+
+def test_a_loose_family_is_compared_in_proportion_to_its_size(spark, make, monkeypatch):
+    """Six variants of one text, unlike each other, in many near copies: no meeting pair by pair."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(300)]
+    variants = []
+    for v in range(6):
+        copy = list(base)
+        copy[40 * v : 40 * v + 45] = [f"v{v}x{k}" for k in range(45)]
+        variants.append(copy)
+
+    def family(size):
+        rows = []
+        for i in range(size):
+            copy = list(variants[i % 6])
+            for _ in range(2):
+                copy[rng.randrange(300)] = f"own{i}"
+            rows.append((1000 + i, " ".join(copy)))
+        return rows
+
+    compared, plain = {}, neardup.written
+
+    def counting(df, name):
+        out = plain(df, name)
+        if name in ("hubs", "apart"):
+            compared[name] = compared.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "written", counting)
+    for size in (60, 240):
+        compared.clear()
+        rows = family(size)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(make(rows), 5, 80).collect()}
+        assert got == {i: c for i, (_, c) in brute_components(rows, 5, 80).items()} and len(set(got.values())) == 6
+        assert sum(compared.values()) <= 6 * size, compared
+
+
+def test_substrings_of_a_repeated_id_do_not_depend_on_the_partitions(spark, make):
+    """Rows that repeat an id with other texts: one answer in any number of partitions."""
+    rng = random.Random(9)
+    shared = [f"s{k}" for k in range(45)]
+    rows = []
+    for i in range(12):
+        own = [f"o{i}x{k}" for k in range(rng.randrange(5, 40))]
+        rows.append((i // 3, " ".join(own + shared[rng.randrange(10) :] + own[:3])))
+    rows += [(0, rows[0][1]), (None, " ".join(shared)), (77, " ".join(shared + shared))]
+
+    def brute():
+        words = {(i, t): t.split() for i, t in rows if i is not None}
+        key = lambda p, d: (d[0], p, hashlib.sha256(d[1].encode()).hexdigest())
+        first = {}
+        for d, w in words.items():
+            for p in range(len(w) - 19):
+                g = tuple(w[p : p + 20])
+                first[g] = min(first.get(g, key(p, d)), key(p, d))
+        out = []
+        for i, t in rows:
+            w, gone = t.split(), set()
+            if i is not None:
+                for p in range(len(w) - 19):
+                    if key(p, (i, t)) > first[tuple(w[p : p + 20])]:
+                        gone |= set(range(p, p + 20))
+            out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+        return sorted(out, key=repr)
+
+    want = brute()
+    assert sum(r[2] for r in want) > 200
+    for n in (1, 2, 8):
+        got = substring.dedup_substrings(make(rows).repartition(n)).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == want
+
+
+def test_columns_of_a_caller_keep_their_values(spark, make):
+    """Names that the line and quality operators use themselves stay the caller's."""
+    docs = make([(1, "This is a first sentence that goes on for long enough to stay here.\n" * 3), (2, "x")])
+    mine = docs.withColumns({c: F.lit(f"my {c}") for c in ("ld_row1", "ld_drop", "ld_lines", "q_kept", "q_words", "q_stays")})
+    for got in (linededup.filter_lines(mine, min_documents=1), quality.filter_quality(mine)):
+        assert got.columns == mine.columns
+        assert {r[c] for r in got.collect() for c in mine.columns if c[:2] in ("ld", "q_")} <= {f"my {c}" for c in mine.columns}
+
+
+def test_the_filter_judges_each_document_once(spark, make):
+    plan = quality.filter_quality(make([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    alone = quality.judge(make([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64(") + plan.count("hash(") <= alone.count("xxhash64(") + alone.count("hash(")

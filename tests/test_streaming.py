@@ -196,7 +196,7 @@ def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
     live.process(one, 1)
     new = live.state.newest()[1]["tables"]
     changed = {b for name in new for b in old[name].keys() | new[name].keys() if old[name].get(b) != new[name].get(b)}
-    assert 1 <= len(changed) < 16 and len(new["instants"]) == 16
+    assert 1 <= len(changed) < 16 and len(new["instants"]) >= len(old["instants"]) > 1
     # A year on every bucket's time has come: instants go, findings stay.
     live.process(one.withColumn("timestamp", F.lit(datetime(2025, 2, 1))), 2)
     last = live.state.newest()[1]["tables"]

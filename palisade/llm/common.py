@@ -99,36 +99,53 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     ``edges`` holds pairs of long ids in any direction and number.  Alternating large-star
     and small-star rounds: every node points its larger neighbours to its least neighbour,
     then the smaller ones.  Minima are partial aggregates and the rows of a hub are joined
-    to its one minimum, so no task holds the neighbours of a node together; each round is
-    checkpointed in the shared folder.  Ends when a round changes nothing.
+    to its one minimum, so no task holds the neighbours of a node together; each half round
+    is a table in the shared folder, so Spark knows its size and joins small ones without a
+    shuffle.  Ends when all edges form stars, which a further round would leave as they are.
     """
-    spark = edges.sparkSession
-    shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     hi, lo = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    now = edges.select(hi, lo).where("u > v").distinct().checkpoint()
+    now = written(edges.select(hi, lo).where("u > v").distinct(), "edges")
     for _ in range(most_rounds):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if _are_stars(now):
+            break
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        then = small.where("u > v").distinct().checkpoint()
-        same = _digest(then) == _digest(now)
-        now = then
-        if same:
-            break
+        now = written(small.where("u > v").distinct(), "small-star")
     else:
         raise RuntimeError("components did not settle")
-    least = now.groupBy("u").agg(F.min("v").alias("component"))
-    return least.select(F.col("u").alias("node"), "component").unionByName(
-        least.select(F.col("component").alias("node"), "component").distinct()
-    )
+    # Of a star, every node but the least has one row, which names that one.
+    return written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    ), "components")
+
 
+def trees(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """``(node, component)`` as ``components`` gives it, where each ``a`` has one link and no way returns.
 
-def _digest(edges: DataFrame) -> tuple:
-    """Two edge sets without repeats are the same if count and hash sums agree."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1)))).first())
+    Every node looks past the one it points to, which halves the way to its root each round.
+    """
+    now, moved = links.select("a", "b"), True
+    for _ in range(most_rounds):
+        onward = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        then = now.join(onward, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved"))
+        now = written(then, "trees")
+        moved = not now.where("moved").isEmpty()
+        if not moved:
+            break
+    if moved:
+        raise RuntimeError("trees did not settle")
+    least = written(now.groupBy("b").agg(F.min("a").alias("m")).select("b", F.least("b", "m").alias("m")), "roots")
+    named = now.join(least, "b").select(F.col("a").alias("node"), F.col("m").alias("component"))
+    return written(named.unionByName(least.toDF("node", "component")), "components")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one ``v`` and no ``v`` is a ``u`` itself."""
+    if not edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()

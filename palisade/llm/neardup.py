@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import components, pieces, strings, written
+from palisade.llm.common import components, pieces, strings, trees, written
 from palisade.llm.words import TO_LOWER, hash_spans, mix, window_hashes, whole_windows, words
 
 CIRCLE_BITS = 22
@@ -146,7 +146,7 @@ def near_duplicates(
     first = stars.groupBy("rep").agg(F.max("p").alias("p")).select(F.col("rep").alias("a"), (-F.col("p.minus")).alias("b"))
     scored = written(overlaps(first), "overlaps")
     links = scored.where(enough(F.col("i"), F.col("s"))).select("a", "b")
-    label = components(links)
+    label = trees(links)  # each class has one pivot, which has more company than itself
 
     # Every class with its pivot (itself, if it has none), their overlap and Jaccard distance.
     away = 1 - F.col("i") / (F.col("s") - F.col("i"))
@@ -154,8 +154,9 @@ def near_duplicates(
     placed = written(placed.select(
         "rep", "n", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("i", "n").alias("i"), F.coalesce("away", F.lit(0.0)).alias("away")
     ), "placed")
-    split = _split_bands(members, _labelled(placed, label))
+    split = written(_split_bands(members, _labelled(placed, label)), "split")
     outside = written(_outside_pivot(split, with_sets), "outside")
+    residue = written(_prefixes(_labelled(outside, label), percent), "residue")
     tried = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def untried(pairs: DataFrame, name: str) -> DataFrame:
@@ -167,31 +168,33 @@ def near_duplicates(
         return written(overlaps(pairs).where(enough(F.col("i"), F.col("s"))), "links")
 
     for _ in range(HUB_ROUNDS):
-        residue = written(_prefixes(_labelled(outside, label), percent), "residue")
-        pairs = _hub_pairs(residue, enough).unionByName(_band_hub_pairs(_split_bands(members, _labelled(placed, label)), percent))
+        pairs = _hub_pairs(residue, enough).unionByName(_band_hub_pairs(split, percent))
         pairs = untried(pairs, "hubs")
         if pairs.isEmpty():
             break
         more = linked(pairs)
         tried = tried.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        if more.isEmpty():
+        joined = _joined(label, more.select("a", "b"))
+        if joined is None:
             break
-        label = _joined(label, more.select("a", "b"))
+        label = joined
         placed = written(_placed_again(placed, more.select("a", "b", "i", away.alias("away"))), "placed")
-    split = written(_split_bands(members, _labelled(placed, label)), "split")
+        split = written(_split_bands(members, _labelled(placed, label)), "split")
+        residue = written(_prefixes(_labelled(outside, label), percent), "residue")
     # Distances between the pivots that meet in a split band bound those between their members.
     met = written(_meeting_pivots(split), "pivots")
     ends = met.select("p", "q").distinct()
     between = written(overlaps(ends.toDF("a", "b")), "between")
-    more = between.where(enough(F.col("i"), F.col("s"))).select("a", "b")
-    if not more.isEmpty():
-        label = _joined(label, more)
+    joined = _joined(label, between.where(enough(F.col("i"), F.col("s"))).select("a", "b"))
+    if joined is not None:
+        label = joined
         split = written(_split_bands(members, _labelled(placed, label)), "split")
+        residue = written(_prefixes(_labelled(outside, label), percent), "residue")
     met = written(met.join(between.select(F.col("a").alias("p"), F.col("b").alias("q"), away.alias("between")), ["p", "q"]), "distances")
     rest = _apart_of_one_pivot(split, percent, enough).unionByName(_apart_of_two_pivots(split, met, percent))
-    rest = untried(rest.unionByName(_apart_in_residue(written(_prefixes(_labelled(outside, label), percent), "residue"), enough)), "apart")
+    rest = untried(rest.unionByName(_apart_in_residue(residue, enough)), "apart")
     if not rest.isEmpty():
-        label = _joined(label, linked(rest).select("a", "b"))
+        label = _joined(label, linked(rest).select("a", "b")) or label
 
     found = classes.select("fp", "rep").join(label.toDF("rep", "component"), "rep", "left")
     found = found.select("fp", F.coalesce("component", "rep").alias("component"))
@@ -203,11 +206,12 @@ def near_duplicates(
 
 
 def _split_bands(members: DataFrame, placed: DataFrame) -> DataFrame:
-    """Members of bands that hold more than one component; ``top`` is the largest one's name."""
+    """Members of bands that hold more than one component; ``top`` is the largest one's name, ``hrep`` its least class."""
     known = members.select("key", "rep").join(placed, "rep")
-    parts = known.groupBy("key", "component").agg(F.count("*").alias("c"))
-    top = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    return known.join(top.select("key", F.col("top.component").alias("top")), "key")
+    parts = known.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("hub"))
+    top = parts.groupBy("key").agg(F.max(F.struct("c", "component", "hub")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    hub = (F.col("top.hub.rep").alias("hrep"), F.col("top.hub.n").alias("hn"))
+    return known.join(top.select("key", F.col("top.component").alias("top"), *hub), "key")
 
 
 _NAMES = ("rep", "n", "pivot", "i", "away", "component")
@@ -270,11 +274,16 @@ def _placed_again(placed: DataFrame, more: DataFrame) -> DataFrame:
     )
 
 
-def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
-    """Components after some more links: only components that these join are named again."""
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame | None:
+    """Components after some more links, or None if all of these lie inside components.
+
+    Only components that the links join are named again.
+    """
     known = label.toDF("node", "component")
     ends = more.join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left")
-    ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    ends = written(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b"), "joins")
+    if ends.isEmpty():
+        return None
     fresh = components(ends)
     moved = known.join(fresh.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return written(moved.unionByName(fresh.join(known, "node", "left_anti").select("node", "component")), "components")
@@ -328,17 +337,19 @@ def _hub_pairs(keyed: DataFrame, enough) -> DataFrame:
     tops = parts.groupBy("pivot", "shingle").agg(F.max(F.struct("c", "component", "hub")).alias("top"), F.count("*").alias("parts"))
     tops = tops.where("parts > 1").select("pivot", "shingle", F.col("top.component").alias("top"), *[F.col(f"top.hub.{c}").alias(f"h{c}") for c in _OWN])
     met = keyed.join(tops, ["pivot", "shingle"]).where((F.col("component") != F.col("top")) & _may_link(enough, "h"))
-    met = met.groupBy("rep", "hrep").agg(F.count("*").alias("c"))
+    return _best_hub(met)
+
+
+def _best_hub(met: DataFrame) -> DataFrame:
+    """The hub that each class met most often.  A class meets one hub per shingle or band of its own: no key is hot."""
+    met = met.select("rep", "hrep").repartition("rep").groupBy("rep", "hrep").agg(F.count("*").alias("c"))
     return met.groupBy("rep").agg(F.max(F.struct("c", "hrep")).alias("best")).select(F.col("rep").alias("a"), F.col("best.hrep").alias("b"))
 
 
 def _band_hub_pairs(split: DataFrame, percent: int) -> DataFrame:
     """The same over bands: each class outside a band's largest component with the least class of that, one hub each."""
-    parts = split.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("hub"))
-    tops = parts.groupBy("key").agg(F.max(F.struct("c", "component", "hub")).alias("most")).select("key", F.col("most.hub.rep").alias("hrep"), F.col("most.hub.n").alias("hn"))
-    met = split.where("component != top").join(tops, "key").where(F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent)
-    met = met.groupBy("rep", "hrep").agg(F.count("*").alias("c")).where("rep != hrep")
-    return met.groupBy("rep").agg(F.max(F.struct("c", "hrep")).alias("best")).select(F.col("rep").alias("a"), F.col("best.hrep").alias("b"))
+    met = split.where("component != top").where(F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent)
+    return _best_hub(met.where("rep != hrep"))
 
 
 def _apart_in_residue(keyed: DataFrame, enough) -> DataFrame:

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from compare import connect, difference
 from palisade.llm import decontam, linededup, neardup, quality, substring
-from palisade.llm.common import components
+from palisade.llm.common import components, trees
 from palisade.llm.words import hash_spans, whole_windows, window_hashes, words
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +47,14 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 400)) and got[502] == 500 and len(got) == 344
 
 
+def test_trees_name_the_least_node_below_each_root(spark):
+    links = [(i, i + 1) for i in range(40)] + [(i, 100) for i in range(101, 400)] + [(900, 800), (700, 800)]
+    got = dict(trees(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 400), 100) | dict.fromkeys((700, 800, 900), 700)
+    assert trees(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def near_rows():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))

@@ -14,7 +14,7 @@ from palisade.functions import ip as ipf
 from palisade.functions.times import iso_text, parse_timestamp
 from palisade.operators import detectors as D
 from palisade.operators import windows as W
-from palisade.operators.allow import allow_audit
+from palisade.operators.allow import allow_audit, longest_rule
 from palisade.operators.rulebook import searchable
 from palisade.operators.scoring import findings, threat_level, threats
 from palisade.options import SourceOptions
@@ -186,6 +186,17 @@ def allow_semi_audit(spark, sf_dir):
     return audit.groupBy("ip", "entry", "kind").agg(F.count("*").alias("requests"))
 
 
+RULED_IP = """case event_id % 4 when 0 then concat('10.', event_id % 3, '.', user_id % 256, '.9')
+    when 1 then concat('11.', user_id % 256, '.77.', 190 + event_id % 60) when 2 then concat('12.0.', user_id % 256, '.', event_id % 12)
+    else concat('11.', event_id % 256, '.', 64 + user_id % 64, '.200') end"""
+
+
+def allow_longest_rule(spark, sf_dir):
+    """The innermost entry of a large nested list over each address."""
+    rows = I.table(spark, sf_dir, "events").select("event_id", F.expr(RULED_IP).alias("ip"))
+    return longest_rule(rows, _made_allow(spark, sf_dir))
+
+
 # --- detectors ------------------------------------------------------------------
 
 
@@ -510,7 +521,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         parse_nginx, parse_waf_json, parse_free_waf, parse_free_waf_object, parse_free_waf_fallback, parse_ssh,
         parse_auto, parse_times, record_json, ip_normalize, ip_valid, ip_private, ip_extract_text, allow_bounds,
-        allow_anti_join, allow_semi_audit, detect_sensitive_path, prose_matches, rule_first_match, rate_sliding, detect_frequency,
+        allow_anti_join, allow_semi_audit, allow_longest_rule, detect_sensitive_path, prose_matches, rule_first_match, rate_sliding, detect_frequency,
         error_sliding, detect_error_flood, ip_request_count, ip_error_count, hits_by_reason, threats_by_ip,
         threat_levels, threat_scan, stream_scan, stream_rate, stream_late, stream_two_queries, stream_lines, threat_upsert, threat_purge, threat_delete, threat_lookup, log_purge, stats_storage,
         export_detailed, export_simple, export_json, export_new_only, unexported, mark_exported, backup_ips,

@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from palisade.functions import ip as ipf
-from palisade.operators.allow import admit, allow_audit, allow_listed
+from palisade.operators import prefixes
+from palisade.operators.allow import admit, allow_audit, allow_listed, longest_rule
 from palisade.sources.allowlist import add_entries, allow_counts, allow_table, entry_lines, intervals
 
 CASES = [
@@ -98,6 +99,59 @@ def test_interval_joins_and_beyond_broadcast(spark, monkeypatch):
         assert {(r.ip, r.entry) for r in allow_audit(df, allow).collect()} >= {("17.22.100.10", "17.0.0.0/8"), ("::1", "::1")}
 
 
+def spans_made(n):
+    """Networks of all lengths and ranges of both families, many nested, with their ends as numbers."""
+    rng, made = random.Random(3), []
+    for i in range(n):
+        width, base, maker = (32, 0x0A000000, ipaddress.IPv4Address) if i % 2 else (128, 0x2001 << 112, ipaddress.IPv6Address)
+        start = base + rng.getrandbits(rng.choice([4, 10, 24]))
+        if i % 5 == 0:
+            end = start + rng.getrandbits(rng.choice([1, 5, 13, 20]))
+            made.append((f"{maker(start)}-{maker(end)}", maker(0).version, start, end))
+        else:
+            net = ipaddress.ip_network((start, rng.randint(0 if i < 12 else 4, width)), strict=False)
+            made.append((str(net), net.version, int(net[0]), int(net[-1])))
+    return made
+
+
+def test_covers_hold_each_address_of_an_interval_once(spark):
+    spans = {e: (lo, hi) for e, _, lo, hi in spans_made(300)}
+    allow = intervals(spark.createDataFrame([(e,) for e in spans], "entry string"))
+    blocks = {}
+    for row in prefixes.cover(allow).collect():
+        width = (9 if row.prefix[0] == "4" else 33) - len(row.prefix)
+        first = int(row.prefix[1:] or "0", 16) << 4 * width
+        blocks.setdefault(row.entry, []).append((first, first + (1 << 4 * width) - 1))
+    assert len(blocks) == allow.count()
+    for entry, found in blocks.items():
+        found.sort()
+        assert (found[0][0], found[-1][1]) == spans[entry], entry
+        assert all(a[1] + 1 == b[0] for a, b in zip(found, found[1:])), entry
+        assert "/" not in entry or len(found) <= 8
+
+
+def test_longest_rule_and_large_lists(spark, monkeypatch):
+    spans, rng = spans_made(400), random.Random(9)
+    allow = intervals(spark.createDataFrame([(e,) for e, *_ in spans], "entry string")).cache()
+    made = {4: ipaddress.IPv4Address, 6: ipaddress.IPv6Address}
+    ends = [made[v](x + d) for _, v, lo, hi in rng.sample(spans, 120) for x in (lo, hi) for d in (-1, 0, 1) if 0 <= x + d < 1 << (32 if v == 4 else 128)]
+    ips = sorted({str(x) for x in ends}) + ["192.0.2.1", "junk", None, "192.0.2.1"]
+    logs = spark.createDataFrame([(i, x) for i, x in enumerate(ips)], "n int, ip string")
+    kept = [(r.entry, r.lo, r.hi) for r in allow.collect()]
+
+    def over(ip):
+        k = key(ip)
+        return [(e, lo, hi) for e, lo, hi in kept if lo[0] == k[0] and lo <= k <= hi]
+
+    valid = [(i, x) for i, x in enumerate(ips) if x and x != "junk"]
+    best = {i: min(over(x), key=lambda r: (-int(r[1][1:], 16), r[2], r[0]), default=(None,))[0] for i, x in valid}
+    assert {r.n: r.entry for r in longest_rule(logs, allow).collect()} == best
+    monkeypatch.setattr("palisade.operators.allow.broadcast_if_small", lambda df: df)  # as for a list beyond its bound
+    assert sorted(r.n for r in admit(logs, allow).collect()) == [i for i, x in valid if not over(x)]
+    assert sorted(r.n for r in allow_listed(logs, allow).collect()) == [i for i, x in valid if over(x)]
+    assert sorted((r.n, r.entry) for r in allow_audit(logs, allow).collect()) == sorted((i, e) for i, x in valid for e, *_ in over(x))
+
+
 def test_extract(spark):
     cases = {"from 1.2.3.4 to": "1.2.3.4", "x 999.1.1.1 fe80::1 y": "fe80::1", "none": None, "v 300.1.1.1": None}
     df = spark.createDataFrame([(c,) for c in cases], "t string")

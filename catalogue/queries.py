@@ -15,7 +15,7 @@ from palisade.functions.times import iso_text, parse_timestamp
 from palisade.operators import detectors as D
 from palisade.operators import windows as W
 from palisade.operators.allow import allow_audit, longest_rule
-from palisade.operators.rulebook import searchable
+from palisade.operators.rulebook import BY_CODE, searchable
 from palisade.operators.scoring import findings, threat_level, threats
 from palisade.options import SourceOptions
 from palisade.plans import export, reports, store
@@ -247,7 +247,7 @@ def rule_first_match(spark, sf_dir):
                 F.lit(code).alias("category"),
                 F.when(I.RULES.matches(code), I.RULES.first_rule(code)).alias("rule_no"),
             )
-            for code in ("sql_injection", "path_traversal", "file_inclusion", "malicious_ua")
+            for code in BY_CODE
         ]
     )
     return rows.select("seq", F.inline(found)).where(F.col("rule_no").isNotNull())

@@ -134,6 +134,10 @@ MADE_IP = """case user_id % 8 when 0 then concat('10.1.', user_id % 256, '.7') w
     when 4 then concat('100.', user_id % 256, '.0.1') when 5 then concat('169.', user_id % 256, '.1.1')
     when 6 then concat('198.', user_id % 64, '.3.4') else concat('300.1.1.', user_id % 256) end"""
 
+MADE_IP6 = f"""case event_id % 8 when 0 then concat('fd00::', user_id % 1000) when 1 then concat('2606:4700::', user_id % 1000)
+    when 2 then concat('::ffff:10.0.0.', user_id % 256) when 3 then concat('::ffff:8.8.8.', user_id % 256)
+    when 4 then concat('2001:db8::', user_id % 1000, ':1') else {MADE_IP} end"""
+
 
 def ip_normalize(spark, sf_dir):
     rows = I.logs(spark, sf_dir).select("seq", F.expr(DECORATED).alias("given"))
@@ -146,7 +150,7 @@ def ip_valid(spark, sf_dir):
 
 
 def ip_private(spark, sf_dir):
-    rows = I.table(spark, sf_dir, "events").select("event_id", F.expr(MADE_IP).alias("ip"))
+    rows = I.table(spark, sf_dir, "events").select("event_id", F.expr(MADE_IP6).alias("ip"))
     return ipf.with_private(rows)
 
 

@@ -7,7 +7,7 @@ from compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
 CHECKED = (
-    "parse_auto", "ip_normalize", "allow_bounds", "allow_semi_audit", "detect_error_flood", "detect_sensitive_path",
+    "parse_auto", "ip_normalize", "allow_bounds", "allow_semi_audit", "allow_longest_rule", "detect_error_flood", "detect_sensitive_path",
     "rule_first_match", "threat_scan", "threat_upsert", "list_threats", "prose_matches",
 )
 

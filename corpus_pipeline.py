@@ -1,4 +1,13 @@
-"""From raw documents to token ids: five stages, each a table of its own in the shared folder."""
+"""From raw documents to token ids: five stages, each a table of its own in the shared folder.
+
+Cases, by stage.  Null, empty and wordless texts fail the base rules of ``quality_rules`` and
+so never reach a later stage; a text that ``line_dedup`` empties stays as an empty text, is
+linked with nothing, holds no benchmark item and gives no ids.  Repeated rows of one id are
+one document for counts and links: they stay or go together, and come back as often as they
+came.  Rows without an id do not count as documents of a line and are never removed as
+copies or as contaminated.  Extra columns pass all stages but the last, whatever their
+names; the last returns its own.  No documents give no rows; no benchmark removes nothing.
+"""
 
 from __future__ import annotations
 

@@ -323,3 +323,14 @@ def test_the_filter_judges_each_document_once(spark, make):
     plan = quality.filter_quality(make([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     alone = quality.judge(make([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("xxhash64(") + plan.count("hash(") <= alone.count("xxhash64(") + alone.count("hash(")
+
+
+def test_pipeline_with_repeats_and_missing_ids_and_texts(spark, tmp_path):
+    rng = random.Random(1)
+    body = lambda: " ".join(rng.sample([f"w{i:03d}" for i in range(900)], 60)) + "."
+    same, one, two = body(), body(), body()
+    rows = [(1, None, "a"), (2, "", "b"), (3, same, "c"), (3, same, "d"), (4, same, "e"), (None, one, "f"), (None, same, "g"), (5, two, "h")]
+    spark.createDataFrame(rows, "doc_id long, text string, ld_row string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id or 0 for r in found) == [0, 0, 3, 3, 5]

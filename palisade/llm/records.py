@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from palisade.llm.common import pieces, written
 
 SEGMENT = 1024
+TEXT_BYTES = 2 << 20  # of text that a task takes apart into words at once
 MANIFEST_ROWS = 500_000  # file starts are broadcast up to so many, beyond that joined
 # Fixed values of the record format: the reflected CRC-32C polynomial and the mask of checksums.
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
@@ -137,28 +139,50 @@ PLAIN_LETTERS[[*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180)]] =
 
 
 class Pieces:
-    """Ids of the pieces that words are cut into, one after another in one array."""
+    """Ids of strings that are encoded one by one, one after another in one array.
 
-    def __init__(self, kind: np.dtype):
-        self.number: dict[str, int] = {" ": 0}  # the gap between two words has no ids
-        self.ids, self.starts, self.sizes = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+    ``gap`` stands between the strings of two rows; it has the number 0 and no ids.
+    """
+
+    def __init__(self, kind: np.dtype, gap: str | bytes):
+        self.number: dict = {gap: 0}
+        self.ids, self.starts, self.sizes, self.hits = np.zeros(1 << 16, kind), *np.zeros((3, 1 << 14), np.int64)
         self.used = 0
 
-    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, pieces: list, ids: np.ndarray, sizes: np.ndarray) -> None:
         at, n = len(self.number), len(pieces)
         if at + n > len(self.starts):
             more = max(at + n, 2 * len(self.starts)) - len(self.starts)
-            self.starts, self.sizes = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.starts, self.sizes, self.hits))
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), self.ids.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[at : at + n], self.sizes[at : at + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.starts[at : at + n], self.sizes[at : at + n], self.hits[at : at + n] = self.used + np.cumsum(sizes) - sizes, sizes, 0
         self.used += len(ids)
         self.number.update(zip(pieces, range(at, at + n)))
 
-    def words(self, cut: list[str]) -> list[bytes]:
-        """Packed ids of the words that a list of pieces, with a gap after each word, spells."""
-        at = np.fromiter(map(self.number.__getitem__, cut), np.int64, len(cut))
+    def drop(self, pieces: list) -> None:
+        """Forget the pieces that were added last."""
+        for piece in pieces:
+            del self.number[piece]
+        self.used -= int(self.sizes[len(self.number) : len(self.number) + len(pieces)].sum())
+
+    def shrink(self, most: int) -> None:
+        """Keep at most so many pieces, of those used more than once since the last time."""
+        keep = np.flatnonzero(self.hits[1 : len(self.number)] > 1)[:most] + 1
+        gap, *every = self.number
+        sizes = self.sizes[keep]
+        ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[keep] - (np.cumsum(sizes) - sizes), sizes)]
+        self.__init__(ids.dtype, gap)
+        self.add([every[i - 1] for i in keep.tolist()], ids, sizes)
+
+    def find(self, cut: list) -> np.ndarray:
+        """Number of each piece, -1 for those not met before."""
+        return np.fromiter(map(self.number.get, cut, itertools.repeat(-1)), np.int64, len(cut))
+
+    def rows(self, at: np.ndarray) -> list[bytes]:
+        """Packed ids of the rows that numbers of pieces, with a gap after each row, spell."""
+        self.hits[: len(self.number)] += np.bincount(at, minlength=len(self.number))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         place = np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - sizes), sizes)
@@ -167,27 +191,26 @@ class Pieces:
         return [packed[a:b] for a, b in zip([0, *edges], edges)]
 
 
-class WordIds(dict):
-    """Packed ids of words between white space, encoded by the tokenizers library.
+class WordIds:
+    """Packed ids of texts, word by word between white space, encoded by the tokenizers library.
 
     Its normaliser and pre-tokeniser never look across ASCII white space, so a text is its
     words in a row.  Where the file cuts words by ``PIECE``, a batch's new plain words are
     handled as one string: lower-cased, cut into pieces, and pieces not met before go to the
     library many at a time, told apart again by the mark of a word's end.  All other words go
-    to it whole.  Words met before are remembered in two generations of at most ``memory``
-    words each; a word that is met again moves to the younger one, the older one is dropped
-    when the younger is full.
+    to it whole.  At most ``memory`` words are remembered, and as many pieces, beyond those of
+    one batch; when they are full, those met more than once stay.  Words of more than
+    ``longest`` bytes are forgotten after their batch.
     """
 
-    def __init__(self, path: str, memory: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, memory: int = 400_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.memory, self.longest, self.long = Tokenizer.from_file(path), memory, longest, []
+        self.tokenizer, self.memory, self.longest = Tokenizer.from_file(path), memory, longest
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         spec = self.tokenizer.to_str()
         suffix = json.loads(spec)["model"].get("end_of_word_suffix")
@@ -201,8 +224,7 @@ class WordIds(dict):
         ready = json.loads(spec) | {"normalizer": None}
         ready["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTE_LEVEL]}
         self.ready = Tokenizer.from_str(json.dumps(ready)) if self.by_piece else self.tokenizer
-        self.older: dict[bytes, bytes] = {}
-        self.pieces = Pieces(self.kind)
+        self.words, self.pieces = Pieces(self.kind, b" "), Pieces(self.kind, " ")
 
     def _whole(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
         found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
@@ -234,41 +256,51 @@ class WordIds(dict):
             cut = self.cut(" ".join([t for t, x in zip(texts, odd) if not x]).lower() + " ")
             wanted = set(cut)
             fresh = list(wanted.difference(self.pieces.number))
-            if len(self.pieces.number) + len(fresh) > 2 * self.memory:
-                self.pieces = Pieces(self.kind)
-                fresh = list(wanted - {" "})
+            if len(self.pieces.number) + len(fresh) > self.memory:
+                self.pieces.shrink(self.memory // 2)
+                fresh = list(wanted.difference(self.pieces.number))
             self._learn_pieces(fresh)
-            self.update(zip(plain, self.pieces.words(cut)))
+            self._add(plain, self.pieces.rows(self.pieces.find(cut)))
         return [w for w, x in zip(words, odd) if x]
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        for word in self.long:
-            self.pop(word, None)
-        every = set().union(*texts)
-        new = every.difference(self)
-        if len(self) + len(new) > self.memory and len(self):
-            self.older = dict(self)
-            self.clear()
-            new = every
-        if self.older:
-            again = new.intersection(self.older)
-            self.update((w, self.older[w]) for w in again)
-            new -= again
-        self.long = [w for w in new if len(w) > self.longest]
-        rest = self.long
-        if self.by_piece:
-            short = [w for w in new if len(w) <= self.longest]
-            if short:
-                rest = rest + self._by_piece(short)
-        else:
-            rest = list(new)
+    def _add(self, words: list[bytes], packed: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
+        self.words.add(words, np.frombuffer(b"".join(packed), self.kind), sizes)
+
+    def _learn(self, new: set[bytes]) -> list[bytes]:
+        """Add the words; returns the long ones, which come last."""
+        long = [w for w in new if len(w) > self.longest]
+        rest = [w for w in new if len(w) <= self.longest]
+        if self.by_piece and rest:
+            rest = self._by_piece(rest)
+        rest += long
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
-            for word, ids in zip(some, self._whole([w.decode("utf-8", "replace") for w in some])):
-                self[word] = ids.tobytes()
-
-    def encode(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
+            self._add(some, [x.tobytes() for x in self._whole([w.decode("utf-8", "replace") for w in some])])
+        return long
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Packed ids of each text, given as its words."""
+        flat, long = [], []
+        for text in texts:
+            flat += text
+            flat.append(b" ")
+        if not flat:
+            return []
+        at = self.words.find(flat)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = {flat[i] for i in missing.tolist()}
+            if len(self.words.number) + len(new) > self.memory:
+                self.words.shrink(self.memory // 2)
+                at = self.words.find(flat)
+                missing = np.flatnonzero(at < 0)
+                new = {flat[i] for i in missing.tolist()}
+            long = self._learn(new)
+            at[missing] = self.words.find([flat[i] for i in missing.tolist()])
+        packed = self.words.rows(at)
+        self.words.drop(long)
+        return packed
 
 
 @functools.lru_cache(maxsize=2)
@@ -313,12 +345,11 @@ def _write(folder: str, path: str, end_id: int, file_bytes: int):
             files.append((name, len(bodies), sum(len(b) - 9 for b in bodies) // coder.kind.itemsize))
             bodies, size = [], 0
 
-        for batch in pieces(batches, 1, 8 << 20):
-            texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-            coder.learn(texts)
-            for doc, words in zip(batch.column(0).to_pylist(), texts):
+        for batch in pieces(batches, 1, TEXT_BYTES):
+            packed = coder.encode([(t or "").encode().split() for t in batch.column(1).to_pylist()])
+            for doc, ids in zip(batch.column(0).to_pylist(), packed):
                 head = b"\x00" + bytes(8) if doc is None else b"\x01" + doc.to_bytes(8, "little", signed=True)
-                bodies.append(head + coder.encode(words) + end)
+                bodies.append(head + ids + end)
                 size += len(bodies[-1])
                 if size >= file_bytes:
                     close()

@@ -3,9 +3,12 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -99,6 +102,29 @@ def test_token_records(spark, docs, texts, tmp_path):
     assert all(r.packed == got[r.doc_id].packed for r in mixed)
 
 
+def test_records_are_written_in_bounded_memory(monkeypatch, tmp_path):
+    monkeypatch.setattr(records, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    texts = [" ".join(f"w{k % 97}" for k in range(i, i + 2_000)) for i in range(1_200)]  # 8 MB, in one Arrow batch
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_200)), pa.array(texts)], ["id", "text"])
+    records.word_ids(WORDS)
+    tracemalloc.start()
+    (files,) = records._write(f"file:{tmp_path}", WORDS, 1, 8 << 20)(iter([batch]))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(files.column(1).to_pylist()) == 1_200 and peak < 100 << 20
+
+
+def test_words_are_forgotten_when_the_memory_is_full():
+    library, coder, rng = Tokenizer.from_file(WORDS), records.WordIds(WORDS, memory=60, longest=12), random.Random(3)
+    common = ["the", "The", "naïve", "x1,y2", "<|endoftext|>", "日本", "don't"]
+    for _ in range(30):
+        texts = [" ".join(rng.choices(common, k=9) + ["".join(rng.choices("abcdeÉ!7", k=rng.randrange(1, 30))) for _ in range(9)]) for _ in range(3)] + [""]
+        got = coder.encode([t.encode().split() for t in texts])
+        assert [np.frombuffer(g, coder.kind).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(coder.words.number) <= 60 + 3 * 18 and max(map(len, coder.words.number)) <= 12
+    assert b"the" in coder.words.number and coder.words.used <= (60 + 3 * 18) * 12 and coder.encode([]) == []
+
+
 def test_checksum_and_damage():
     rng = random.Random(1)
     bodies = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 7, 8, 9, 1023, 1024, 1025, 5000)]

@@ -26,6 +26,8 @@ from palisade.llm.common import pieces, strings, written
 from palisade.llm.words import hash_spans, mix, whole_windows, window_hashes, words
 
 
+TEXT_BYTES = 2 << 20  # of text that a task takes apart at once
+OUT_ROWS = 1 << 16  # that a task hands on at once
 VARIANT_ROWS = 500_000  # ids with several texts are broadcast up to so many, beyond that joined
 
 
@@ -53,7 +55,7 @@ def _rows_of(h: np.ndarray, rules: SubstringRules, bits: int) -> list[np.ndarray
 
 def _blocks(batches: Iterator[pa.RecordBatch], rules: SubstringRules, check: bool) -> Iterator[tuple]:
     """``(batch, first word per row, window start, window row, hash, check hash)`` of bounded pieces."""
-    for batch in pieces(batches, 1):
+    for batch in pieces(batches, 1, TEXT_BYTES):
         offsets, data = strings(batch.column(1))
         starts, ends, first = words(data, offsets)
         hashes = hash_spans(data, starts, ends)
@@ -81,24 +83,25 @@ def _sketch(rules: SubstringRules, bits: int):
         kept: list[list[np.ndarray]] = [[] for _ in range(rules.depth)]
         n = 0
 
-        def flushed() -> pa.RecordBatch:
-            rows = [x for d in range(rules.depth) for x in packed(np.concatenate(kept[d]), d)]
-            for x in kept:
-                x.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-                ["depth", "block", "gaps"],
-            )
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for d in range(rules.depth):
+                counters = np.concatenate(kept[d])
+                kept[d].clear()
+                rows = list(packed(counters, d))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
+                    ["depth", "block", "gaps"],
+                )
 
         for *_, h, _c in _blocks(batches, rules, False):
             for d, at in enumerate(_rows_of(h, rules, bits)):
                 kept[d].append(at)
             n += len(h)
             if n >= rules.flush:
-                yield flushed()
+                yield from flushed()
                 n = 0
         if n:
-            yield flushed()
+            yield from flushed()
 
     return run
 
@@ -155,20 +158,32 @@ def _estimated(rules: SubstringRules, bits: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, kept, n = sketch.value, [], 0
 
-        def settled() -> pa.RecordBatch:
-            h, c, doc, start, variant = (np.concatenate([k[i] for k in kept]) for i in range(5))
+        def settled() -> Iterator[pa.RecordBatch]:
+            # One column after another, as they are the most that a task holds.
+            columns = [np.concatenate([k.pop(0) for k in kept]) for _ in range(5)]
             kept.clear()
-            order = np.lexsort((variant, start, doc, c, h))
-            h, c, doc, start, variant = h[order], c[order], doc[order], start[order], variant[order]
+            order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
+            for i in range(5):
+                columns[i] = columns[i][order]
+            del order
+            h, c, doc, start, variant = columns
             same = np.zeros(len(h), bool)
             same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
             twin = np.zeros(len(h), bool)  # the same place of a repeated row is judged as the first of its kind
             twin[1:] = same[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (variant[1:] == variant[:-1])
             later = same[np.maximum.accumulate(np.where(twin, 0, np.arange(len(h))))]
+            later = doc[later], start[later], variant[later]
             send = np.flatnonzero(~same)
             send = send[np.lexsort((start[send], doc[send]))]  # in text order rows compress best
-            first = h[send], c[send], doc[send], start[send], variant[send]
-            return _table(*first, doc[later], start[later], variant[later], rules.window)
+            del h, c, doc, start, variant, same, twin
+            for i in range(5):
+                columns[i] = columns[i][send]
+            del send
+            for i in range(0, len(columns[0]), OUT_ROWS):
+                h, c, doc, start, variant = (x[i : i + OUT_ROWS] for x in columns)
+                yield _rows(h.view(np.int64), (c.astype(np.int64) >> 1 << 32) + start, doc, variant)
+            columns.clear()
+            yield from _stretches(*later, rules.window)
 
         for batch, first, at, row, h, c in _blocks(batches, rules, True):
             ok = np.ones(len(h), bool)
@@ -178,21 +193,25 @@ def _estimated(rules: SubstringRules, bits: int, sketch):
             ok &= ~np.asarray(ids.is_null())[row]
             doc, mine = np.asarray(ids.fill_null(0), np.int64), row[ok]
             of = np.asarray(batch.column(2), np.int32)[mine]
-            kept.append((h[ok], c[ok].astype(np.uint32), doc[mine], (at[ok] - first[mine]).astype(np.int32), of))
+            kept.append([h[ok], c[ok].astype(np.uint32), doc[mine], (at[ok] - first[mine]).astype(np.int32), of])
             n += int(ok.sum())
             if n >= rules.flush:
-                yield settled()
+                yield from settled()
                 n = 0
         if n:
-            yield settled()
+            yield from settled()
 
     return run
 
 
-def _table(h, c, doc, start, variant, later_doc, later_start, later_variant, window: int) -> pa.RecordBatch:
-    """Candidates, then the later windows: of a stretch only as many as it takes to cover it."""
-    order = np.lexsort((later_start, later_variant, later_doc))
-    d, s, v = later_doc[order], later_start[order].astype(np.int64), later_variant[order]
+def _rows(h: np.ndarray, place: np.ndarray, doc: np.ndarray, variant: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(place), pa.array(doc), pa.array(variant)], ["h", "place", "id", "variant"])
+
+
+def _stretches(doc: np.ndarray, start: np.ndarray, variant: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+    """The later windows: of a stretch only as many as it takes to cover it."""
+    order = np.lexsort((start, variant, doc))
+    d, s, v = doc[order], start[order].astype(np.int64), variant[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (s[1:] > s[:-1] + window)
     at = np.flatnonzero(new)
@@ -201,13 +220,9 @@ def _table(h, c, doc, start, variant, later_doc, later_start, later_variant, win
     first[1:] |= ((s - begin) // window)[1:] != ((s - begin) // window)[:-1]
     need = first | np.append(first[1:], True)[: len(s)]  # and the last of them
     d, s, v = d[need], s[need], v[need]
-    spread = mix((d * 31 + s).view(np.uint64)).view(np.int64)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([h.view(np.int64), spread])),
-        pa.array(np.concatenate([(c.astype(np.int64) >> 1 << 32) + start, -1 - s])),
-        pa.array(np.concatenate([doc, d])),
-        pa.array(np.concatenate([variant, v])),
-    ], ["h", "place", "id", "variant"])
+    for i in range(0, len(d), OUT_ROWS):
+        some, at = d[i : i + OUT_ROWS], s[i : i + OUT_ROWS]
+        yield _rows(mix((some * 31 + at).view(np.uint64)).view(np.int64), -1 - at, some, v[i : i + OUT_ROWS])
 
 
 def _named(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
@@ -258,7 +273,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in pieces(batches, 1):
+    for batch in pieces(batches, 1, TEXT_BYTES):
         packed = [squeeze.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["id", "packed", "variant"])
 
@@ -268,7 +283,7 @@ def _cut(doc_id: str, window: int):
         import zstandard
 
         expand = zstandard.ZstdDecompressor()
-        for batch in pieces(batches, 1, 2 << 20):
+        for batch in pieces(batches, 1, TEXT_BYTES):
             texts, starts = batch.column(1).to_pylist(), batch.column(2)
             total, gone, sha, out = [], [], [], []
             for i, text in enumerate(texts):

@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +147,22 @@ def test_a_full_sketch_loses_nothing(make):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got.collect()} == brute_substrings(rows, 20)
 
 
+def test_substring_tasks_work_in_bounded_memory():
+    words = [f"w{k * k % 99_991}" for k in range(100_000)]
+    texts = [" ".join(words[k : k + 1_000]) for k in range(0, 99_000, 100)]  # 7 MB in one Arrow batch, ten times each window
+    batch = pa.RecordBatch.from_arrays([pa.array(range(990)), pa.array(texts), pa.array([0] * 990, pa.int32())], ["id", "text", "variant"])
+    full = SimpleNamespace(value=np.full((3, 1 << 17), 255, np.uint8))
+    rules = substring.SubstringRules()
+    list(substring._estimated(rules, 20, full)(iter([batch.slice(0, 9)])))
+    peaks, rows = [], []
+    for run in (substring._sketch(rules, 28), substring._estimated(rules, 20, full)):
+        tracemalloc.start()
+        rows.append([x.num_rows for x in run(iter([batch]))])
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    assert max(peaks) < 90 and max(rows[1]) <= 1 << 16 < sum(rows[1]), (peaks, rows[1])
+
+
 def test_substring_edges(edges, empty):
     got = substring.dedup_substrings(edges).collect()
     assert len(got) == 8 and sum(r.n_removed for r in got if r.doc_id != 6) == 0

@@ -51,14 +51,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return table, shift
 
 
+@functools.cache
+def _pair_tables() -> np.ndarray:
+    """The tables of eight bytes, two bytes at a time."""
+    table, both = _tables()[0], np.arange(1 << 16)
+    return np.stack([table[7 - k][both & 0xFF] ^ table[6 - k][both >> 8] for k in (0, 2, 4, 6)])
+
+
 def _raw(data: np.ndarray, states: np.ndarray) -> np.ndarray:
     """CRC states after rows of equal length that is a multiple of eight."""
-    table, _ = _tables()
-    for at in range(0, data.shape[1], 8):
-        part = data[:, at : at + 8]
-        states = states ^ (part[:, 0].astype(np.uint32) | part[:, 1].astype(np.uint32) << 8 | part[:, 2].astype(np.uint32) << 16 | part[:, 3].astype(np.uint32) << 24)
-        new = table[7][states & 0xFF] ^ table[6][states >> 8 & 0xFF] ^ table[5][states >> 16 & 0xFF] ^ table[4][states >> 24]
-        states = new ^ table[3][part[:, 4]] ^ table[2][part[:, 5]] ^ table[1][part[:, 6]] ^ table[0][part[:, 7]]
+    table, parts = _pair_tables(), np.ascontiguousarray(data.view("<u2").T)
+    for at in range(0, len(parts), 4):
+        states = table[0][parts[at] ^ (states & 0xFFFF)] ^ table[1][parts[at + 1] ^ (states >> 16)] ^ table[2][parts[at + 2]] ^ table[3][parts[at + 3]]
     return states
 
 
@@ -138,6 +142,15 @@ PLAIN_LETTERS = np.zeros(0x181, bool)
 PLAIN_LETTERS[[*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180)]] = True
 
 
+def plain_pattern() -> str:
+    """``PIECE`` or a space for lower-cased words of ``PLAIN_LETTERS``, its classes spelled out for ``re``."""
+    import regex
+
+    every = "".join(map(chr, np.flatnonzero(PLAIN_LETTERS).tolist()))
+    letters, numbers = ("".join(regex.findall(kind, every)) for kind in (r"\p{L}", r"\p{N}"))
+    return f"[{letters}]+| |'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^ {letters}{numbers}]+"
+
+
 class Pieces:
     """Ids of strings that are encoded one by one, one after another in one array.
 
@@ -206,8 +219,8 @@ class WordIds:
     def __init__(self, path: str, memory: int = 400_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
+        import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory, self.longest = Tokenizer.from_file(path), memory, longest
@@ -219,7 +232,7 @@ class WordIds:
         if self.by_piece:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = regex.compile(PIECE + "| ").findall
+        self.cut = re.compile(plain_pattern()).findall
         # The same merges for pieces that are cut and lower-cased already.
         ready = json.loads(spec) | {"normalizer": None}
         ready["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTE_LEVEL]}
@@ -251,9 +264,10 @@ class WordIds:
         texts = joined.split(" ")
         if any(a in joined for a in self.added):
             odd |= np.fromiter((any(a in t for a in self.added) for t in texts), bool, len(texts))
-        plain = [w for w, x in zip(words, odd) if not x]
+        even = (~odd).tolist()
+        plain = list(itertools.compress(words, even))
         if plain:
-            cut = self.cut(" ".join([t for t, x in zip(texts, odd) if not x]).lower() + " ")
+            cut = self.cut(" ".join(itertools.compress(texts, even)).lower() + " ")
             wanted = set(cut)
             fresh = list(wanted.difference(self.pieces.number))
             if len(self.pieces.number) + len(fresh) > self.memory:
@@ -261,7 +275,7 @@ class WordIds:
                 fresh = list(wanted.difference(self.pieces.number))
             self._learn_pieces(fresh)
             self._add(plain, self.pieces.rows(self.pieces.find(cut)))
-        return [w for w, x in zip(words, odd) if x]
+        return list(itertools.compress(words, odd.tolist()))
 
     def _add(self, words: list[bytes], packed: list[bytes]) -> None:
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
@@ -346,7 +360,7 @@ def _write(folder: str, path: str, end_id: int, file_bytes: int):
             bodies, size = [], 0
 
         for batch in pieces(batches, 1, TEXT_BYTES):
-            packed = coder.encode([(t or "").encode().split() for t in batch.column(1).to_pylist()])
+            packed = coder.encode([(t or b"").split() for t in batch.column(1).cast(pa.binary()).to_pylist()])
             for doc, ids in zip(batch.column(0).to_pylist(), packed):
                 head = b"\x00" + bytes(8) if doc is None else b"\x01" + doc.to_bytes(8, "little", signed=True)
                 bodies.append(head + ids + end)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import tracemalloc
 import zlib
 from types import SimpleNamespace
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -125,6 +127,13 @@ def test_words_are_forgotten_when_the_memory_is_full():
     assert b"the" in coder.words.number and coder.words.used <= (60 + 3 * 18) * 12 and coder.encode([]) == []
 
 
+def test_plain_words_are_cut_as_by_the_library_pattern():
+    letters, rng = [chr(c) for c in np.flatnonzero(records.PLAIN_LETTERS)], random.Random(1)
+    whole, plain = regex.compile(records.PIECE + "| ").findall, re.compile(records.plain_pattern()).findall
+    text = " ".join("".join(rng.choices(letters + list("'stremvld09½²") * 12, k=rng.randrange(1, 9))) for _ in range(20_000)).lower() + " "
+    assert plain(text) == whole(text)
+
+
 def test_checksum_and_damage():
     rng = random.Random(1)
     bodies = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 7, 8, 9, 1023, 1024, 1025, 5000)]

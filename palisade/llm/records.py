@@ -23,10 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import pieces, written
+from palisade.llm.common import pieces, strings, written
+from palisade.llm.words import IS_SPACE
+from palisade.llm.words import words as word_places
 
 SEGMENT = 1024
 TEXT_BYTES = 2 << 20  # of text that a task takes apart into words at once
+BODY_BYTES = 1 << 20  # of records that a task frames, or takes out of a file, at once
 MANIFEST_ROWS = 500_000  # file starts are broadcast up to so many, beyond that joined
 # Fixed values of the record format: the reflected CRC-32C polynomial and the mask of checksums.
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
@@ -115,23 +118,31 @@ def frame(bodies: list[bytes]) -> list[bytes]:
     return [n + sums[i] + b + sums[len(bodies) + i] for i, (n, b) in enumerate(zip(lengths, bodies))]
 
 
-def unframe(content: bytes) -> list[bytes]:
-    """Bodies of a file's records; an error names the place of a broken one."""
-    bodies, at, heads, want = [], 0, [], []
+def unframed(content: bytes | memoryview, most: int = BODY_BYTES) -> Iterator[list[bytes]]:
+    """Bodies of a file's records, about ``most`` bytes at a time; an error names the place of a broken one."""
+    at, done = 0, 0
     while at < len(content):
-        head = content[at : at + 8]
-        size = int.from_bytes(head, "little")
-        if len(head) < 8 or at + 16 + size > len(content):
-            raise ValueError(f"record at byte {at} is cut short")
-        heads.append(head)
-        bodies.append(content[at + 12 : at + 12 + size])
-        want.append((content[at + 8 : at + 12], content[at + 12 + size : at + 16 + size]))
-        at += 16 + size
-    sums = [masked(c).to_bytes(4, "little") for c in crc32c(heads + bodies)]
-    for i, (a, b) in enumerate(want):
-        if a != sums[i] or b != sums[len(bodies) + i]:
-            raise ValueError(f"record {i}: checksum differs")
-    return bodies
+        begin, bodies, heads, want = at, [], [], []
+        while at < len(content) and at - begin < most:
+            head = bytes(content[at : at + 8])
+            size = int.from_bytes(head, "little")
+            if len(head) < 8 or at + 16 + size > len(content):
+                raise ValueError(f"record at byte {at} is cut short")
+            heads.append(head)
+            bodies.append(bytes(content[at + 12 : at + 12 + size]))
+            want.append((bytes(content[at + 8 : at + 12]), bytes(content[at + 12 + size : at + 16 + size])))
+            at += 16 + size
+        sums = [masked(c).to_bytes(4, "little") for c in crc32c(heads + bodies)]
+        for i, (a, b) in enumerate(want):
+            if a != sums[i] or b != sums[len(bodies) + i]:
+                raise ValueError(f"record {done + i}: checksum differs")
+        done += len(bodies)
+        yield bodies
+
+
+def unframe(content: bytes) -> list[bytes]:
+    """Bodies of all records of a file."""
+    return list(itertools.chain.from_iterable(unframed(content)))
 
 
 # Fixed value: the pattern that cuts normalised words of the word-piece file before its merges.
@@ -181,27 +192,30 @@ class Pieces:
         self.used -= int(self.sizes[len(self.number) : len(self.number) + len(pieces)].sum())
 
     def shrink(self, most: int) -> None:
-        """Keep at most so many pieces, of those used more than once since the last time."""
-        keep = np.flatnonzero(self.hits[1 : len(self.number)] > 1)[:most] + 1
+        """Keep at most so many pieces, the most used of those used more than once; earlier use counts half."""
+        hits = self.hits[: len(self.number)].copy()
+        hits[0] = 0
+        keep = np.flatnonzero(hits > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argpartition(-hits[keep], most)[:most]])
         gap, *every = self.number
         sizes = self.sizes[keep]
         ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[keep] - (np.cumsum(sizes) - sizes), sizes)]
         self.__init__(ids.dtype, gap)
         self.add([every[i - 1] for i in keep.tolist()], ids, sizes)
+        self.hits[1 : len(keep) + 1] = hits[keep] // 2
 
     def find(self, cut: list) -> np.ndarray:
         """Number of each piece, -1 for those not met before."""
         return np.fromiter(map(self.number.get, cut, itertools.repeat(-1)), np.int64, len(cut))
 
-    def rows(self, at: np.ndarray) -> list[bytes]:
-        """Packed ids of the rows that numbers of pieces, with a gap after each row, spell."""
+    def spelled(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows that numbers of pieces, with a gap after each row, spell, and each row's end."""
         self.hits[: len(self.number)] += np.bincount(at, minlength=len(self.number))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         place = np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - sizes), sizes)
-        packed = self.ids[place].tobytes()
-        edges = (ends[at == 0] * self.ids.itemsize).tolist()
-        return [packed[a:b] for a, b in zip([0, *edges], edges)]
+        return self.ids[place], ends[at == 0]
 
 
 class WordIds:
@@ -212,16 +226,16 @@ class WordIds:
     handled as one string: lower-cased, cut into pieces, and pieces not met before go to the
     library many at a time, told apart again by the mark of a word's end.  All other words go
     to it whole.  At most ``memory`` words are remembered, and as many pieces, beyond those of
-    one batch; when they are full, those met more than once stay.  Words of more than
+    one batch; when they are full, the half met most often stays.  Words of more than
     ``longest`` bytes are forgotten after their batch.
     """
 
-    def __init__(self, path: str, memory: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, memory: int = 300_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
         import re
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.memory, self.longest = Tokenizer.from_file(path), memory, longest
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
@@ -233,10 +247,13 @@ class WordIds:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = re.compile(plain_pattern()).findall
-        # The same merges for pieces that are cut and lower-cased already.
-        ready = json.loads(spec) | {"normalizer": None}
-        ready["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTE_LEVEL]}
-        self.ready = Tokenizer.from_str(json.dumps(ready)) if self.by_piece else self.tokenizer
+        # The same merges, held once, for pieces that are cut and lower-cased already.
+        self.ready = self.tokenizer
+        if self.by_piece:
+            self.ready = Tokenizer(self.tokenizer.model)
+            self.ready.add_tokens(list(self.tokenizer.get_added_tokens_decoder().values()))
+            bytewise = pre_tokenizers.ByteLevel(**{k: v for k, v in BYTE_LEVEL.items() if k != "type"})
+            self.ready.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
         self.words, self.pieces = Pieces(self.kind, b" "), Pieces(self.kind, " ")
 
     def _whole(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
@@ -274,14 +291,11 @@ class WordIds:
                 self.pieces.shrink(self.memory // 2)
                 fresh = list(wanted.difference(self.pieces.number))
             self._learn_pieces(fresh)
-            self._add(plain, self.pieces.rows(self.pieces.find(cut)))
+            ids, ends = self.pieces.spelled(self.pieces.find(cut))
+            self.words.add(plain, ids, np.diff(ends, prepend=0))
         return list(itertools.compress(words, odd.tolist()))
 
-    def _add(self, words: list[bytes], packed: list[bytes]) -> None:
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
-        self.words.add(words, np.frombuffer(b"".join(packed), self.kind), sizes)
-
-    def _learn(self, new: set[bytes]) -> list[bytes]:
+    def _learn(self, new: list[bytes]) -> list[bytes]:
         """Add the words; returns the long ones, which come last."""
         long = [w for w in new if len(w) > self.longest]
         rest = [w for w in new if len(w) <= self.longest]
@@ -290,31 +304,49 @@ class WordIds:
         rest += long
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
-            self._add(some, [x.tobytes() for x in self._whole([w.decode("utf-8", "replace") for w in some])])
+            each = self._whole([w.decode("utf-8", "replace") for w in some])
+            self.words.add(some, np.concatenate(each), np.array([len(x) for x in each]))
         return long
 
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Packed ids of each text, given as its words."""
-        flat, long = [], []
-        for text in texts:
-            flat += text
-            flat.append(b" ")
-        if not flat:
+    def _packed(self, words: pa.Array, first: np.ndarray) -> list[bytes]:
+        """Packed ids of rows of words; ``first`` has the place of each row's first word, and the end."""
+        if len(first) < 2:
             return []
-        at = self.words.find(flat)
-        missing = np.flatnonzero(at < 0)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = self.words.find(distinct)
+        missing, long = np.flatnonzero(at < 0), []
+        if len(self.words.number) + len(missing) > self.memory:
+            self.words.shrink(self.memory // 2)
+            at = self.words.find(distinct)
+            missing = np.flatnonzero(at < 0)
         if len(missing):
-            new = {flat[i] for i in missing.tolist()}
-            if len(self.words.number) + len(new) > self.memory:
-                self.words.shrink(self.memory // 2)
-                at = self.words.find(flat)
-                missing = np.flatnonzero(at < 0)
-                new = {flat[i] for i in missing.tolist()}
+            new = [distinct[i] for i in missing.tolist()]
             long = self._learn(new)
-            at[missing] = self.words.find([flat[i] for i in missing.tolist()])
-        packed = self.words.rows(at)
+            at[missing] = self.words.find(new)
+        is_word = np.ones(len(words) + len(first) - 1, bool)
+        is_word[first[1:] + np.arange(len(first) - 1)] = False
+        rows = np.zeros(len(is_word), np.int64)
+        rows[is_word] = at[coded.indices.to_numpy()]
+        ids, ends = self.words.spelled(rows)
         self.words.drop(long)
-        return packed
+        packed, edges = ids.tobytes(), (ends * ids.itemsize).tolist()
+        return [packed[a:b] for a, b in zip([0, *edges], edges)]
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Packed ids of each text, given as its words."""
+        words = pa.array(itertools.chain.from_iterable(texts), pa.binary())
+        return self._packed(words, np.cumsum([0, *map(len, texts)]))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of each text of a column; null is empty."""
+        offsets, data = strings(texts)
+        starts, ends, first = word_places(data, offsets)
+        ends = np.cumsum(ends - starts, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        inner = pa.py_buffer(np.concatenate([np.zeros(1, ends.dtype), ends]))
+        kind = pa.binary() if ends.dtype == np.int32 else pa.large_binary()
+        words = pa.Array.from_buffers(kind, len(ends), [None, inner, pa.py_buffer(data[~IS_SPACE[data]])])
+        return self._packed(words, first)
 
 
 @functools.lru_cache(maxsize=2)
@@ -343,31 +375,47 @@ def _write(folder: str, path: str, end_id: int, file_bytes: int):
         coder, context = word_ids(path), TaskContext.get()
         store, root = _filesystem(folder)
         part, attempt = context.partitionId(), context.taskAttemptId()
-        end, bodies, size, files = np.array([end_id], coder.kind).tobytes(), [], 0, []
+        end, files = np.array([end_id], coder.kind).tobytes(), []
+        bodies, held, size, lengths, out = [], 0, 0, [], None  # not written yet and their bytes; of the open file
+
+        def draft(kind: str) -> str:
+            # A retried or second attempt writes the same bytes and takes the name over at once.
+            return f"{root}/_{part:06d}-{len(files):05d}.{attempt}.{kind}"
+
+        def put() -> None:
+            nonlocal bodies, held, out
+            out = out or store.open_output_stream(draft("rec"))
+            records = frame(bodies)
+            out.write(b"".join(records))
+            lengths.extend(map(len, records))
+            bodies, held = [], 0
 
         def close() -> None:
-            nonlocal bodies, size
+            nonlocal size, lengths, out
+            if bodies:
+                put()
+            out.close()
             name = f"{part:06d}-{len(files):05d}"
-            records = frame(bodies)
-            starts = np.cumsum([0, *map(len, records)])[:-1].astype("<u8")
-            for kind, content in (("rec", b"".join(records)), ("idx", starts.tobytes())):
-                # A retried or second attempt writes the same bytes and takes the name over at once.
-                draft = f"{root}/_{name}.{attempt}.{kind}"
-                with store.open_output_stream(draft) as out:
-                    out.write(content)
-                store.move(draft, f"{root}/{name}.{kind}")
-            files.append((name, len(bodies), sum(len(b) - 9 for b in bodies) // coder.kind.itemsize))
-            bodies, size = [], 0
+            store.move(draft("rec"), f"{root}/{name}.rec")
+            starts = np.cumsum([0, *lengths])[:-1].astype("<u8")
+            with store.open_output_stream(draft("idx")) as index:
+                index.write(starts.tobytes())
+            store.move(draft("idx"), f"{root}/{name}.idx")
+            files.append((name, len(lengths), sum(n - 25 for n in lengths) // coder.kind.itemsize))
+            size, lengths, out = 0, [], None
 
         for batch in pieces(batches, 1, TEXT_BYTES):
-            packed = coder.encode([(t or b"").split() for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            packed = coder.encode_column(batch.column(1))
             for doc, ids in zip(batch.column(0).to_pylist(), packed):
                 head = b"\x00" + bytes(8) if doc is None else b"\x01" + doc.to_bytes(8, "little", signed=True)
                 bodies.append(head + ids + end)
+                held += len(bodies[-1])
                 size += len(bodies[-1])
                 if size >= file_bytes:
                     close()
-        if bodies:
+                elif held >= BODY_BYTES:
+                    put()
+        if size:
             close()
         yield pa.RecordBatch.from_arrays(
             [pa.array([f[0] for f in files], pa.string()), pa.array([f[1] for f in files], pa.int64()), pa.array([f[2] for f in files], pa.int64())],
@@ -410,17 +458,19 @@ def _parse(itemsize: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, content, index, file in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                bodies = unframe(content.as_py())
-                offsets = np.cumsum([0, *(len(b) + 16 for b in bodies)])[:-1].astype("<u8")
-                if hashlib.sha256(offsets.tobytes()).hexdigest() != index:
+                offsets = [0]
+                for bodies in unframed(memoryview(content.as_buffer())):
+                    offsets.extend((offsets[-1] + np.cumsum([len(b) + 16 for b in bodies])).tolist())
+                    counts = np.array([(len(b) - 9) // itemsize for b in bodies], np.int64)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([int.from_bytes(b[1:9], "little", signed=True) if b[0] else None for b in bodies], pa.int64()),
+                        pa.array(start + np.cumsum(counts) - counts),
+                        pa.array(counts),
+                        pa.array([np.frombuffer(b, f"<u{itemsize}", offset=9).astype("<u4").tobytes() for b in bodies], pa.binary()),
+                    ], ["doc_id", "start", "n_tokens", "packed"])
+                    start += int(counts.sum())
+                if hashlib.sha256(np.array(offsets[:-1], "<u8").tobytes()).hexdigest() != index:
                     raise ValueError(f"{file}: its index differs from its records")
-                counts = np.array([(len(b) - 9) // itemsize for b in bodies], np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([int.from_bytes(b[1:9], "little", signed=True) if b[0] else None for b in bodies], pa.int64()),
-                    pa.array(start + np.concatenate([[0], np.cumsum(counts)[:-1]])) if len(bodies) else pa.array([], pa.int64()),
-                    pa.array(counts),
-                    pa.array([np.frombuffer(b, f"<u{itemsize}", offset=9).astype("<u4").tobytes() for b in bodies], pa.binary()),
-                ], ["doc_id", "start", "n_tokens", "packed"])
 
     return run
 
@@ -433,8 +483,8 @@ def id_bytes(path: str) -> int:
 def read_records(spark: SparkSession, folder: str, manifest: DataFrame, itemsize: int = 2) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens``, ``packed`` (ids of 32 bits) of every record in the files.
 
-    Files are of a bounded size and read whole; every checksum is tested, and the places of
-    the records against the file's index.
+    Files are of a bounded size and read whole, their records taken out part by part; every
+    checksum is tested, and the places of the records against the file's index.
     """
     folder = qualified(spark, folder)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rec").load(folder).select("path", "content")

@@ -116,6 +116,39 @@ def test_records_are_written_in_bounded_memory(monkeypatch, tmp_path):
     assert sum(files.column(1).to_pylist()) == 1_200 and peak < 100 << 20
 
 
+def test_a_worker_holds_a_part_of_a_file_and_few_words(monkeypatch, tmp_path):
+    monkeypatch.setattr(records, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    coder = records.WordIds(WORDS)
+    monkeypatch.setattr(records, "word_ids", lambda path: coder)
+    texts = [" ".join(f"{k:x}" for k in range(i, i + 100)) for i in range(100_000, 700_000, 100)]  # 600,000 words, one file
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    tracemalloc.start()
+    (files,) = records._write(f"file:{tmp_path}", WORDS, 1, 8 << 20)(iter([batch]))
+    held = tracemalloc.get_traced_memory()[0]
+    content, index = (tmp_path / "000000-00000.rec").read_bytes(), (tmp_path / "000000-00000.idx").read_bytes()
+    place = [pa.array([5]), pa.array([content]), pa.array([hashlib.sha256(index).hexdigest()]), pa.array(["000000-00000"])]
+    file = pa.RecordBatch.from_arrays(place, ["start", "content", "index", "file"])
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    parts = [(b.column(0).to_pylist(), b.column(1)[0].as_py(), sum(b.column(2).to_pylist())) for b in records._parse(2)(iter([file]))]
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert held < 70 << 20 and peak < 8 << 20, (held, peak)
+    assert len(parts) > 2 and [i for ids, _, _ in parts for i in ids] == list(range(len(texts)))
+    assert [start for _, start, _ in parts] == [5 + sum(n for _, _, n in parts[:k]) for k in range(len(parts))]
+    assert sum(n for _, _, n in parts) == files.column(2)[0].as_py()
+
+
+def test_columns_are_encoded_as_by_the_library():
+    library, coder = Tokenizer.from_file(WORDS), records.WordIds(WORDS, memory=8)
+    texts = ["cut off", "", None, " two\twords ", "x" * 99 + "\n\x0bDon't,\u2003日本 x1", "two words", "\x1c \x85 é", None]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    for kind in (pa.string(), pa.large_string()):
+        got = coder.encode_column(pa.array(texts, kind).slice(1))
+        assert [np.frombuffer(g, coder.kind).tolist() for g in got] == want
+    assert coder.encode_column(pa.array([], pa.string())) == [] and coder.encode_column(pa.array([None], pa.string())) == [b""]
+
+
 def test_words_are_forgotten_when_the_memory_is_full():
     library, coder, rng = Tokenizer.from_file(WORDS), records.WordIds(WORDS, memory=60, longest=12), random.Random(3)
     common = ["the", "The", "naïve", "x1,y2", "<|endoftext|>", "日本", "don't"]
